@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rules
+from . import mixing, packing, rules, warc
 from .common import table
 
 
@@ -14,6 +14,18 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op10_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -32,5 +44,12 @@ FROM b
 """
 
 
+_OP10 = """
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+  CASE WHEN refers THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN refers THEN keeper END AS refers_to
+FROM (SELECT *, octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id IS DISTINCT FROM keeper AND keeper IS NOT NULL AS refers FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_rule_ledger": _OP6}
+    return {"op6_rule_ledger": _OP6, "op10_indexed_warc": _OP10}
