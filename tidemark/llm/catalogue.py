@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, rules, warc
+from . import mixing, packing, rules, simhash, substrings, warc
 from .common import table
 
 
+def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -18,6 +22,10 @@ def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,14 @@ FROM b
 """
 
 
+_OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS c FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+m AS (SELECT r, i, w[i] AS word, max(coalesce(c, 0)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 1 AS gone FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) LEFT JOIN s USING (r, i)),
+k AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
 _OP10 = """
 SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
   CASE WHEN refers THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN refers THEN keeper END AS refers_to
@@ -52,4 +68,4 @@ FROM (SELECT *, octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id IS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_rule_ledger": _OP6, "op10_indexed_warc": _OP10}
+    return {"op6_rule_ledger": _OP6, "op8_substring_dedup": _OP8, "op10_indexed_warc": _OP10}
