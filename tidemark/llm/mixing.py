@@ -163,7 +163,8 @@ def pieces(placed: DataFrame, slots_: DataFrame, block_words: int = BLOCK_WORDS)
     c, b = F.col, F.lit(block_words).cast("long")
     cut = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(c("start") / b).cast("long"), F.floor((c("start") + c("size") - 1) / b).cast("long"))))
     cut = cut.withColumn("first", F.greatest(F.lit(0), c("block") * b - c("start"))).withColumn("end", F.least(c("size"), (c("block") + 1) * b - c("start")))
-    met = cut.join(slots_, ["s", "block"], "left")
+    # slots come from exploded counts, whose size Spark can't foresee: without the hint it would broadcast them
+    met = cut.join(slots_.hint("merge"), ["s", "block"], "left")
     within = c("start") + c("first") - c("block") * b
     return met.withColumn("held", F.greatest(F.lit(0), F.least(c("end") - c("first"), F.coalesce(c("words"), F.lit(0)) - within)))
 
