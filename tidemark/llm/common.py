@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, partitions_by: list[str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, so that what follows doesn't compute it again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path, partitionBy=partitions_by)
+    df.write.parquet(path, partitionBy=partitions_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
