@@ -132,7 +132,7 @@ def _windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([id_] * len(at), pa.int64()), pa.array(np.full(len(at), tie)), pa.array(at.astype(np.int32))], schema=schema)
 
     grouped = spans.groupBy("_id", "_tie").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    # a row that repeats another is hashed once: its paths are counted by their occurrences already
+    # a row that repeats another is hashed for each, and rightly: all its windows are repeated
     texts = _tied(docs)
     met = texts.join(grouped, texts["_id"].eqNullSafe(grouped["_id"]) & (texts["_tie"] == grouped["_tie"])).select(texts["_id"], texts["_tie"], "_text", "spans")
     return met.mapInArrow(run, "h long, g long, _id long, _tie long, at int")
@@ -142,15 +142,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """`_id`, `_tie` and `spans`, the first words and last windows' first words of repeated stretches, for each
     row that has any."""
     every = written(all_paths(docs, window, gram), "paths")
-    again = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # counts are written before they are joined: a join whose one side comes straight from an aggregation can't be
+    # split where an anchor is very frequent
+    again = written(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated-anchors")
     kept = written(every.join(again, "anchor", "left_semi"), "kept-paths")
     distinct = kept.groupBy("anchor", "path").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_tie", "first", "last")).alias("at"))
     distinct = written(distinct, "distinct-paths")
     whole = kept.join(distinct.filter("n > 1").select("anchor", "path"), ["anchor", "path"], "left_semi").select("_id", "_tie", "first", "last")
-    parting = distinct.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
+    parting = written(distinct.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "parting-anchors")
     open_ = distinct.join(parting, "anchor", "left_semi").select("at.*")
     windows = written(_windows(docs, open_, window), "windows")
-    twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
+    twice = written(windows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g"), "repeated-windows")
     parts = windows.join(twice, ["h", "g"], "left_semi").select("_id", "_tie", F.col("at").alias("first"), F.col("at").alias("last"))
     return whole.unionByName(parts).groupBy("_id", "_tie").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
