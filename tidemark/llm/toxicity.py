@@ -73,10 +73,20 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, total))))
 
 
-def chosen(positive: list[Counter], other: list[Counter], most: int = FEATURES, least: int = LEAST, told: float = TOLD) -> list[str]:
+def _frequencies(docs: list[str], among: set[str] | None = None) -> Counter:
+    """In how many documents each feature occurs, of those named if any are."""
+    out: Counter = Counter()
+    for d in docs:
+        found = {f for w in d.split() for f in features(w)}
+        out.update(found if among is None else found & among)
+    return out
+
+
+def chosen(positive: list[str], other: list[str], most: int = FEATURES, least: int = LEAST, told: float = TOLD) -> list[str]:
     """The features whose document frequencies differ most between the samples, by the G statistic, and are
     higher among the positives; none whose longer form has nearly as many positives."""
-    p, u = Counter(f for d in positive for f in d), Counter(f for d in other for f in d)
+    p = Counter({f: n for f, n in _frequencies(positive).items() if n >= least})
+    u = _frequencies(other, set(p))
     np_, nu = len(positive), max(1, len(other))
     shorter = lambda f: f[:-1] if len(f) - 1 in PREFIXES else f[: PREFIXES[-1]]
     said = {shorter(f) for f, n in p.items() if f != shorter(f) and n >= 0.9 * p[shorter(f)]}
@@ -86,23 +96,26 @@ def chosen(positive: list[Counter], other: list[Counter], most: int = FEATURES,
         rate = (a + b) / (np_ + nu)
         return a * math.log(a / (np_ * rate)) + (b * math.log(b / (nu * rate)) if b else 0.0)
 
-    some = [(weight(f), f) for f, n in p.items() if n >= least and f not in said and n / np_ > u[f] / nu]
+    some = [(weight(f), f) for f, n in p.items() if f not in said and n / np_ > u[f] / nu]
     return [f for w, f in sorted(some, reverse=True)[:most] if w > told]
 
 
-def _matrix(docs: list[Counter], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(docs: list[str], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the ones: a column for each kept feature and number of words, up to `WORDS`."""
-    pairs = [(k, WORDS * at[f] + j) for k, d in enumerate(docs) for f, n in d.items() if f in at for j in range(min(n, WORDS))]
-    rows, columns = zip(*pairs, strict=True) if pairs else ((), ())
+    rows, columns = [], []
+    for k, d in enumerate(docs):
+        for f, n in Counter(f for w in d.split() for f in features(w) if f in at).items():
+            for j in range(min(n, WORDS)):
+                rows.append(k), columns.append(WORDS * at[f] + j)
     return np.array(rows, int), np.array(columns, int)
 
 
-def fit(positive: list[set[str]], other: list[set[str]], prior: float, steps: int = STEPS, rate: float = RATE, sparse: float = SPARSE) -> Classifier:
-    """Descends the non-negative risk under logistic loss; weights are shrunk towards zero, to exact zeros."""
-    if not positive or not prior:
+def fit(p: list[str], u: list[str], prior: float, steps: int = STEPS, rate: float = RATE, sparse: float = SPARSE) -> Classifier:
+    """Descends the non-negative risk under logistic loss; weights are shrunk towards zero, to exact zeros.
+    p and u: the distinct words of each document, positive and unlabelled, joined by spaces."""
+    if not p or not prior:
         return Classifier()
     prior = min(prior, 0.95)
-    p, u = ([Counter(f for w in d for f in features(w)) for d in docs] for docs in (positive, other))
     names = chosen(p, u)
     at = {f: k for k, f in enumerate(names)}
     (rp, cp), (ru, cu) = _matrix(p, at), _matrix(u, at)
@@ -135,7 +148,7 @@ def trained(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, othe
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(word_set(t.as_py()))) for t in batch.column("text")], pa.string())], names=["words"])
 
-    bags = lambda df: [set(x.split()) for x in df.select("text").mapInArrow(run, "words string").toPandas()["words"]]
+    bags = lambda df: df.select("text").mapInArrow(run, "words string").toArrow().column("words").to_pylist()
     usable = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
     prior = usable.agg(F.avg("toxic")).first()[0] or 0.0
     return fit(bags(labelled(docs, labels, "toxic", positives, F.col("toxic") == 1)), bags(unlabelled(docs, others)), float(prior))
