@@ -216,10 +216,26 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, with the columns of docs: that with the smallest doc_id; of rows that
-    repeat it, the one whose text comes first. Documents without a doc_id stay only where their component has no
-    other."""
-    ids = near_duplicates(docs.select("doc_id", "text"), radius)
-    keep = ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null").dropDuplicates(["text"]))
+    """One document of each component, with the columns of docs: that with the smallest doc_id, and of rows that
+    share it any one with the least text. Documents without a doc_id stay only where their component has none
+    with one, one for each fingerprint."""
+    c = F.col
+    ids = written(near_duplicates(docs.select("doc_id", "text"), radius), "components")
+    keep = ids.filter(c("doc_id") == c("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    # ids that several rows share are few; written, so that Spark knows how few
+    shared = written(keep.filter("n > 1").select("doc_id"), "shared-ids")
+    once = docs.join(keep.filter("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    several = docs.join(shared, "doc_id", "left_semi").select(*docs.columns)
+    least = several.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("_least"))
+    several = several.join(least, "doc_id").filter(F.coalesce("text", F.lit("")) == c("_least")).select(*docs.columns).dropDuplicates(["doc_id"])
+    unnamed = written(ids.filter(c("doc_id").isNull() & c("component_id").isNull()).select("fingerprint").distinct(), "unnamed")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [f"{fingerprint(t.as_py()) & (1 << BITS) - 1:016x}" for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.string())], names=[*batch.schema.names, "_fp"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    nameless = docs.filter("doc_id is null").mapInArrow(marked, f"{fields}, _fp string")
+    nameless = nameless.join(unnamed, c("_fp") == c("fingerprint"), "left_semi").dropDuplicates(["_fp"]).select(*docs.columns)
+    return once.unionByName(several).unionByName(nameless)
