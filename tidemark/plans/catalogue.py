@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from . import market, records
+from .registry import QUERIES, SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of each symbol with their mean of five; the newest bars whose close crosses above it."""
+    return market.newest_crossings(spark, sf_dir)
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries():
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+__all__ = ["flagship", "oracle_sql", "queries", "records"]
