@@ -5,7 +5,9 @@ that the document fails. A policy is a version with a mask of the rules that cou
 version, or asking what one rule alone rejects, reads the ledger and never the text.
 
 Defined cases: a null or blank text has no words, so every count is 0 and the rule `few_words` fails; a null
-doc_id is kept as it is; repeated rows each get their row; an empty table gives an empty ledger.
+doc_id is kept as it is; repeated rows each get their row; an empty table gives an empty ledger; further columns
+are carried by `filtered` and ignored by `ledger`. Names that begin with an underscore are reserved, as in all
+modules of this subpackage.
 Only DataFrame functions are used.
 """
 
@@ -128,4 +130,8 @@ def ablations(ledger_: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 def filtered(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """The documents that the policy keeps, with the columns they came with."""
-    return apply_policy(ledger(docs, *docs.columns), policy).filter("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    # without the observation in between, the filter would move below the measurements and compute each of them
+    # again for every rule that reads it
+    known = ledger(whole, "_doc").observe("rule ledger", F.count(F.lit(1)).alias("documents"))
+    return apply_policy(known, policy).filter("kept").select("_doc.*")

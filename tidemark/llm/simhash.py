@@ -228,7 +228,7 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     several = docs.join(shared, "doc_id", "left_semi").select(*docs.columns)
     least = several.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("_least"))
     several = several.join(least, "doc_id").filter(F.coalesce("text", F.lit("")) == c("_least")).select(*docs.columns).dropDuplicates(["doc_id"])
-    unnamed = written(ids.filter(c("doc_id").isNull() & c("component_id").isNull()).select("fingerprint").distinct(), "unnamed")
+    unnamed = written(ids.filter(c("doc_id").isNull() & c("component_id").isNull()).select(c("fingerprint").alias("_named")).distinct(), "unnamed")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,5 +237,5 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     nameless = docs.filter("doc_id is null").mapInArrow(marked, f"{fields}, _fp string")
-    nameless = nameless.join(unnamed, c("_fp") == c("fingerprint"), "left_semi").dropDuplicates(["_fp"]).select(*docs.columns)
+    nameless = nameless.join(unnamed, c("_fp") == c("_named"), "left_semi").dropDuplicates(["_fp"]).select(*docs.columns)
     return once.unionByName(several).unionByName(nameless)

@@ -139,7 +139,7 @@ def _windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """`_id`, `_tie` and `spans`, the first words and last windows' first words of repeated stretches, for each
+    """`_id`, `_tie` and `_spans`, the first words and last windows' first words of repeated stretches, for each
     row that has any."""
     every = written(all_paths(docs, window, gram), "paths")
     # counts are written before they are joined: a join whose one side comes straight from an aggregation can't be
@@ -154,7 +154,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     windows = written(_windows(docs, open_, window), "windows")
     twice = written(windows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g"), "repeated-windows")
     parts = windows.join(twice, ["h", "g"], "left_semi").select("_id", "_tie", F.col("at").alias("first"), F.col("at").alias("last"))
-    return whole.unionByName(parts).groupBy("_id", "_tie").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return whole.unionByName(parts).groupBy("_id", "_tie").agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
 
 
 def _covered(n: int, spans, window: int) -> np.ndarray:
@@ -178,7 +178,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, found in zip(batch.column("_text"), batch.column("spans"), strict=True):
+            for text, found in zip(batch.column("_text"), batch.column("_spans"), strict=True):
                 words = text.as_py().encode().split()
                 covered = _covered(len(words), found.values, window)
                 left = b" ".join([w for w, x in zip(words, covered.tolist(), strict=True) if not x] if found.is_valid else words)
@@ -189,7 +189,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, raw, found in zip(batch.column("text"), batch.column("_text"), batch.column("spans"), strict=True):
+            for text, raw, found in zip(batch.column("text"), batch.column("_text"), batch.column("_spans"), strict=True):
                 if found.is_valid:
                     parts = _SPLIT.split(raw.as_py().encode())
                     lead = 0 if parts[0] else 2
@@ -202,8 +202,8 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool
             yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
 
     if texts:
-        made = met.select(*names, "_text", "spans").mapInArrow(rest, docs.schema)
+        made = met.select(*names, "_text", "_spans").mapInArrow(rest, docs.schema)
         return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else made
     keep = [c for c in names if c not in ("text", "n_words", "n_removed", "kept_sha256")]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return met.select(*keep, "_text", "spans").mapInArrow(digest, f"{kinds}, n_words long, n_removed long, kept_sha256 string")
+    return met.select(*keep, "_text", "_spans").mapInArrow(digest, f"{kinds}, n_words long, n_removed long, kept_sha256 string")
