@@ -220,7 +220,7 @@ def exists_probe(spark, d):
     return table(spark, d, "customer").join(held, "c_custkey", "left_semi").select("c_custkey", "c_mktsegment")
 
 
-@query("row_count_parity", "WITH a AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey AS k, 4 AS n FROM orders) SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS stored, coalesce(b.n, 0) AS archived, coalesce(a.n, 0) = coalesce(b.n, 0) AS passed FROM a FULL JOIN b ON a.k = b.k")
+@query("row_count_parity", "WITH a AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey AS k, CAST(4 AS BIGINT) AS n FROM orders) SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS stored, coalesce(b.n, 0) AS archived, coalesce(a.n, 0) = coalesce(b.n, 0) AS passed FROM a FULL JOIN b ON a.k = b.k")
 def row_count_parity(spark, d):
     stored = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"))
     archived = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(4).alias("rows"))
