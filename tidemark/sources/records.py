@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.timegrid import from_micros, micros
 from ..operators.bitemporal import KEY, first_per_key, new_rows
 from ..operators.gate import pointers, split
 
-ENVELOPE = T.StructType.fromDDL(
+ENVELOPE = (
     "record_id string, dataset_id string, source string, venue string, symbol string, event_time timestamp_ntz, collection_time timestamp_ntz, ingest_time timestamp_ntz, valid_from_sys timestamp_ntz, supersedes string, correction_reason string, "
     "producer string, code_version string, schema_version int, config_hash string, quality_flags array<string>, quality_ok boolean, quality_gate_version string, annotations array<string>, stage_latency_ms map<string,double>, payload string"
 )
