@@ -246,3 +246,27 @@ def test_scalars(spark):
     r = spark.createDataFrame([("up 1,234.5% or -3 a: b",)], "t string").select(scalars.numbers_in(F.col("t")).alias("n"), scalars.before_colon(F.col("t")).alias("b"), scalars.word_count(F.col("t")).alias("w"), scalars.plain_number(F.lit("$1,234.5%")).alias("p"), scalars.jaccard(F.expr("array()"), F.expr("array()")).alias("j")).first()
     assert tuple(r) == (["1,234.5%", "-3"], "up 1,234.5% or -3 a", 6, 1234.5, 1.0)
     assert scalars.short_hash({"b": 1, "a": 2}) == scalars.short_hash({"a": 2, "b": 1})
+
+
+def test_predicate_trees(spark, frame):
+    from tidemark.plans import strategy
+
+    tree = {"or": [{"left": {"feature": "close"}, "op": "gt", "right": {"feature": "sma", "args": {"n": 10}}}, {"not": {"left": {"feature": "close", "timeframe": "5m"}, "op": "between", "right": {"param": "hi"}, "right2": 1.0}}]}
+    b = strategy.with_features(frame, strategy.features(tree))
+    got = [r["x"] for r in b.withColumn("x", strategy.condition(tree, {"hi": 500.0})).orderBy("close_time").collect()]
+    x = [r[6] for r in series(400)]
+    want = [(i >= 9 and x[i] > sum(x[i - 9 : i + 1]) / 10) or i < 4 for i in range(400)]
+    assert got == want
+    for bad in ({"and": []}, {"left": 1, "op": "gt", "right": 2}, {"left": {"feature": "magic"}, "op": "gt", "right": 1}, {"left": {"feature": "sma", "args": {"n": 1}}, "op": "gt", "right": 1}, {"left": {"feature": "close"}, "op": "gt", "right": 1, "right2": 2}, {"left": {"feature": "close"}, "op": "eq", "right": 1}):
+        with pytest.raises(strategy.Rejected):
+            strategy.features(bad)
+    with pytest.raises(strategy.Rejected):
+        strategy.condition({"left": {"feature": "close"}, "op": "gt", "right": {"param": "none"}})
+
+
+def test_depth(spark):
+    from tidemark.operators import decisions
+
+    df = spark.createDataFrame([([(10.0, 1.0), (9.0, 3.0)], [(11.0, 1.0)])], "b array<struct<price:double,qty:double>>, a array<struct<price:double,qty:double>>")
+    assert tuple(df.select(*decisions.depth(F.col("b"), F.col("a"))).first()) == (4.0, 1.0, 0.6)
+    assert tuple(df.select(*decisions.depth(F.col("b"), F.col("a"), 1)).first()) == (1.0, 1.0, 0.0)

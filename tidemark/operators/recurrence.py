@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 BLOCK_ROWS = 100_000
 
 
@@ -47,7 +49,8 @@ def folded(df: DataFrame, keys: tuple[str, ...], order: str, series: list[tuple[
         return f[[*types, "_block"]].assign(**made)
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in types.items()), "_block long", *(f"_fy{k} double, _fp{k} double" for k in n)])
-    local = blocks.groupBy(*keys, "_block").applyInPandas(fold, schema)
+    # written, since both the block ends and the rows are read from it
+    local = written(blocks.groupBy(*keys, "_block").applyInPandas(fold, schema), "folded")
     ends = local.groupBy(*keys, "_block").agg(*(F.max_by(f"_f{x}{k}", order).alias(f"_e{x}{k}") for k in n for x in "yp"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     enters = ends

@@ -332,3 +332,32 @@ def replay_trades(spark, d):
 def equity_curve(spark, d):
     c = replay.equity_curve(replay.trades(signals(spark, d), KEYS, POLICY, replay.Costs()), 10_000.0, KEYS)
     return c.select("symbol", "exit_time", *(F.round(x, 6).alias(x) for x in ("equity", "peak", "drawdown_pct")))
+
+
+@query(
+    "arbiter_choices",
+    """WITH s AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS slot, event_id, event_type AS strategy_id, CASE WHEN user_id % 10 < 8 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN NULL WHEN event_type = 'error' THEN 0.0 ELSE value / 100 * 0.5 END AS score FROM events),
+g AS (SELECT slot, count(*) FILTER (WHERE score > 0) AS live, count(DISTINCT direction) FILTER (WHERE score > 0) AS dirs, arg_max(strategy_id, struct_pack(s := score, t := -event_id)) FILTER (WHERE score > 0) AS best, max(score) FILTER (WHERE score > 0) AS score FROM s GROUP BY 1)
+SELECT slot, CASE WHEN live = 0 THEN 'all_stale' WHEN dirs > 1 THEN 'conflict' ELSE 'ok' END AS reason, CASE WHEN live > 0 AND dirs = 1 THEN best END AS strategy_id, CASE WHEN live > 0 AND dirs = 1 THEN round(score, 6) END AS score FROM g""",
+)
+def arbiter_choices(spark, d):
+    from ..functions.timegrid import floored
+    from ..operators import decisions
+
+    e = table(spark, d, "events")
+    c = F.col
+    scope = F.when(c("event_type") == "error", F.array(F.lit("bear"))).otherwise(F.expr("cast(array() as array<string>)"))
+    regime = F.when(c("user_id") % 3 == 0, None).otherwise("bull")
+    s = e.select(floored(c("ts"), 3600).alias("slot"), "event_id", c("event_type").alias("strategy_id"), F.when(c("user_id") % 10 < 8, "LONG").otherwise("SHORT").alias("direction"), (c("value") / 100).alias("weight"), F.lit(0.5).alias("confidence"), F.lit(1.0).alias("sharpe"), scope.alias("regime_scope"), regime.alias("regime"))
+    return decisions.chosen(s, ("slot",), "event_id").withColumn("score", F.round("score", 6))
+
+
+@query("strategy_signals")
+def strategy_signals(spark, d):
+    """A predicate over two timeframes on bars of a minute of all events."""
+    from . import strategy
+
+    t = ticks(spark, d).withColumn("symbol", F.lit("all"))
+    minute = bars.from_points(t, 1, "ts", "price", "price", KEYS)
+    tree = {"and": [{"left": {"feature": "close"}, "op": "cross_above", "right": {"feature": "sma", "args": {"n": 20}}}, {"not": {"left": {"feature": "rsi", "timeframe": "1h", "args": {"n": 14}}, "op": "gt", "right": {"param": "hot"}}}]}
+    return strategy.signals(minute, tree, {"hot": 70.0}).filter("signal").select("close_time", "close", "regime", r6("stop_distance"))

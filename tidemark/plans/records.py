@@ -307,3 +307,44 @@ def state_hashes(spark, d):
 def day_parity(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return table(spark, d, "customer").join(n, "c_nationkey").groupBy("n_name").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query(
+    "pretrade_refusals",
+    "WITH o AS (SELECT o_orderkey, o_totalprice AS notional, o_totalprice * 0.0001 AS risk, CASE WHEN o_orderstatus = 'F' THEN 'SHORT' ELSE 'LONG' END AS direction FROM orders) SELECT o_orderkey, concat_ws(',', CASE WHEN risk > 10000 * 0.25 / 100 * 1.001 THEN 'per_trade_risk_exceeds_cap' END, CASE WHEN 80 + risk > 100 THEN 'total_open_risk_exceeds_cap' END, CASE WHEN notional / 10000 > 3 THEN 'leverage_exceeds_cap' END, CASE WHEN 100 + notional / 3 > 10000 THEN 'insufficient_free_margin' END, CASE WHEN direction = 'LONG' AND 95.0 - 96.0 <= 0 THEN 'stop_beyond_liquidation_buffer' WHEN direction = 'SHORT' AND 96.0 - 95.0 < abs(100.0 - 95.0) * 20 / 100 THEN 'stop_beyond_liquidation_buffer' END) AS reasons FROM o",
+)
+def pretrade_refusals(spark, d):
+    from ..operators import decisions
+
+    c, lit = F.col, F.lit
+    o = table(spark, d, "orders")
+    direction = F.when(c("o_orderstatus") == "F", "SHORT").otherwise("LONG")
+    reasons = decisions.refusals(lit(10_000.0), c("o_totalprice") * 0.0001, lit(80.0), c("o_totalprice"), lit(100.0), lit(100.0), lit(95.0), lit(96.0), direction, lit(None).cast("double"), lit(None).cast("double"), lit(False))
+    return o.select("o_orderkey", F.array_join(reasons, ",").alias("reasons"))
+
+
+@query(
+    "scrutiny_verdicts",
+    """WITH c AS (SELECT o_orderkey AS case_id, o_orderdate AS time, o_orderpriority || o_custkey % 50 AS key, CASE WHEN o_orderstatus = 'F' THEN 'SHORT' ELSE 'LONG' END AS direction, (o_custkey % 21 - 10) / 10000.0 AS funding_rate, o_totalprice / 1e7 AS spread_pct FROM orders),
+h AS (SELECT o_orderdate AS t, o_orderpriority || o_custkey % 50 AS key, o_totalprice / 2e5 AS a, o_totalprice / 1e7 AS s FROM orders),
+m AS (SELECT case_id, count(*) AS analogs, count(*) FILTER (WHERE a >= 1.0) AS adverse, count(s) AS n, count(*) FILTER (WHERE s < spread_pct) AS below FROM c JOIN h USING (key) WHERE t >= time - INTERVAL 730 DAY AND t <= time - INTERVAL 1 DAY GROUP BY 1)
+SELECT case_id, CASE WHEN reason = 'analogs_ok' THEN 'APPROVE' ELSE 'VETO' END AS verdict, reason, analogs, adverse FROM (SELECT case_id, coalesce(analogs, 0) AS analogs, coalesce(adverse, 0) AS adverse, CASE WHEN abs(funding_rate) >= 0.0005 AND (funding_rate > 0 AND direction = 'LONG' OR funding_rate < 0 AND direction = 'SHORT') THEN 'funding_against_position' WHEN coalesce(analogs, 0) < 20 THEN 'insufficient_analogs' WHEN adverse >= 0.75 * analogs THEN 'analogs_adverse' WHEN n > 0 AND below > least(n * 90 // 100, n - 1) THEN 'spread_above_percentile' ELSE 'analogs_ok' END AS reason FROM c LEFT JOIN m USING (case_id))""",
+)
+def scrutiny_verdicts(spark, d):
+    from ..operators import decisions
+
+    c = F.col
+    key = F.concat("o_orderpriority", (c("o_custkey") % 50).cast("string"))
+    o = table(spark, d, "orders").withColumn("key", key).withColumn("time", c("o_orderdate").cast("timestamp_ntz"))
+    cases = o.select(c("o_orderkey").alias("case_id"), "time", "key", F.when(c("o_orderstatus") == "F", "SHORT").otherwise("LONG").alias("direction"), ((c("o_custkey") % 21 - 10) / 10000.0).alias("funding_rate"), (c("o_totalprice") / 1e7).alias("spread_pct"))
+    history = o.select("time", "key", (c("o_totalprice") / 2e5).alias("adverse_pct"), (c("o_totalprice") / 1e7).alias("spread_pct"))
+    return decisions.scrutinised(cases, history)
+
+
+@query("kill_levels", f"WITH {_PNL}, e AS (SELECT strategy_id, ts, event_id, 10000 + sum(net_pnl * 5) OVER (PARTITION BY strategy_id ORDER BY ts, event_id) AS equity FROM t), k AS (SELECT *, max(equity) OVER (PARTITION BY strategy_id ORDER BY ts) AS peak, first_value(equity) OVER (PARTITION BY strategy_id, CAST(ts AS DATE) ORDER BY ts) AS opened FROM e) SELECT strategy_id, CAST(CASE WHEN (peak - equity) / peak * 100 >= 15 THEN 3 WHEN (equity - opened) / opened * 100 <= -3 THEN 2 ELSE 0 END AS INTEGER) AS kill_level, count(*) AS n FROM k GROUP BY 1, 2")
+def kill_levels(spark, d):
+    from ..operators import decisions
+
+    w = Window.partitionBy("strategy_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    curve = pnl(spark, d).withColumn("equity", 10000 + F.sum(F.col("net_pnl") * 5).over(w))
+    return decisions.kills(curve, ("strategy_id",), "ts", "equity").groupBy("strategy_id", "kill_level").agg(F.count("*").alias("n"))
