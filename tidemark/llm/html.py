@@ -3,9 +3,9 @@
 A page is cut into blocks at block-level tags; a block knows its text, how much of it is in links, and what it lies
 in. The first pass judges each block alone: what lies in a part that says it is a menu, header, footer, sidebar,
 notice, advert, form or comments is bad; so is a block of many links; a long block is good if stop words are as
-dense as in running text, a block of headings or of the page's article counts by length alone; a short block stays
-open. The second pass gives open blocks the label of their nearest decided neighbours: good between good ones, and
-headings before a good block are good.
+dense as in running text, near to it if somewhat less; a short block stays open. The second pass makes near blocks
+good beside a good one, gives open blocks the label of their nearest decided neighbour, and makes a heading good
+before a good block.
 
 Where a page marks its article (`article`, `main`, or an element named so), blocks in it are good unless a rule makes
 them bad, and blocks outside it are bad, unless that leaves nothing.
@@ -56,7 +56,7 @@ ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.15, 0.25
-LINKS = 0.33
+LINKS, LINKS_INSIDE = 0.33, 0.8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*+(?:>|$)"
@@ -177,10 +177,13 @@ def blocks(html: str) -> list[Block]:
 
 def _first_pass(b: Block) -> str:
     n = len(b.text)
-    if b.outside or b.linked > LINKS * n or "\xa9" in b.text[:200] and n < LENGTH_HIGH:
+    if b.outside:
         return "bad"
     if b.inside:
-        return "good"
+        # a heading may be one link, and a paragraph may have many; a short block of nothing else is a menu
+        return "bad" if b.linked > LINKS_INSIDE * n and n < LENGTH_HIGH and not b.heading else "good"
+    if b.linked > LINKS * n or "\xa9" in b.text and n < LENGTH_HIGH:
+        return "bad"
     if n < LENGTH_LOW:
         return "open"
     tokens = b.text.lower().split()
