@@ -188,13 +188,14 @@ def test_packing(rows, docs):
 
 
 def test_token_ids_agree():
-    plain, fast, _ = packing._encoders(packing.vocabulary())
+    files = packing.vocabulary()
+    plain, fast, special = packing._plain(files[0]), packing._fast(files[1]), packing.special_tokens(files[0])
     usual = [chr(c) for c in range(0x250) if not packing._OTHER.search(chr(c))]
     for c in usual:
         for t in (f"a{c}b", f"{c}{c} {c}", f"1{c}2 \n{c} "):
             assert plain.encode(t, add_special_tokens=False).ids == fast.encode_ordinary(t)
     for t in ("a<|endoftext|>b", "中文 text \U0001f600", "\x1c \x85 \xa0"):
-        assert packing.token_ids(t, packing.vocabulary()).tolist() == [*plain.encode(t, add_special_tokens=False).ids, 0]
+        assert packing.token_ids(t, files, special).tolist() == [*plain.encode(t, add_special_tokens=False).ids, 0]
 
 
 def test_chain_marginals():

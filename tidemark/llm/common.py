@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written
+
 #: Characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACES_RE = r"[\x20\x09-\x0D]+"
@@ -28,26 +30,14 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not held:
-        held = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(held)
-    return held.rstrip("/")
-
-
-def written(df: DataFrame, name: str, partitions_by: list[str] | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, so that what follows doesn't compute it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=partitions_by)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that further columns of the input can't clash with an operator's own."""
-    return df.select(*names)
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end Arrow gives back the memory that it keeps, since Python workers live on."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+__all__ = ["SPACES", "SPACES_RE", "lean", "n_words", "shared_dir", "table", "union", "words", "written"]

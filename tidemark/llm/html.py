@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Frequent function words of the languages that pages come in.
 STOP_WORDS = frozenset(
     # English
@@ -232,7 +234,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     keep = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             texts = [main_text(h.as_py()) for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 

@@ -18,6 +18,7 @@ task that runs again gives the same.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 LENGTH = 1024
 OPEN_WINDOWS = 32
@@ -50,29 +51,35 @@ def vocabulary(name: str = "byte_bpe_50k") -> tuple[str, str]:
 
 
 @cache
-def _encoders(files: tuple[str, str]):
-    import json
+def _plain(file: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(file)
 
+
+@cache
+def _fast(file: str):
     import tiktoken
-    from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(files[0])
-    with open(files[0]) as f:
-        special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-    with open(files[1], "rb") as f:
+    with open(file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     # the published pattern of this kind of vocabulary
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return plain, tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), tuple(special)
+    return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def special_tokens(file: str) -> tuple[str, ...]:
+    with open(file) as f:
+        return tuple(x["content"] for x in json.load(f)["added_tokens"])
 
 
-def token_ids(text: str | None, files: tuple[str, str]) -> np.ndarray:
-    plain, fast, special = _encoders(files)
+def token_ids(text: str | None, files: tuple[str, str], special: tuple[str, ...]) -> np.ndarray:
+    """The ids of a text and `END`. A library is loaded by the first text that needs it."""
     text = text or ""
     if _OTHER.search(text) or any(x in text for x in special):
-        ids = plain.encode(text, add_special_tokens=False).ids
+        ids = _plain(files[0]).encode(text, add_special_tokens=False).ids
     else:
-        ids = fast.encode_ordinary(text)
+        ids = _fast(files[1]).encode_ordinary(text)
     return np.array([*ids, END], "<u4")
 
 
@@ -141,15 +148,16 @@ def packed(docs: DataFrame, files: tuple[str, str] | None = None, length: int =
     """A row for each piece. A sequence_id is the partition's number and a count; for merged leftovers, with the
     next bit set, the group's."""
     files = files or vocabulary()
+    special = special_tokens(files[0])
     names = [c.split()[0] for c in PIECES.split(", ")]
     schema = pa.schema([*zip(names, _TYPES, strict=True), ("left", pa.int32()), ("ids", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         packer, first = Packer(length, open_windows), part << 36
-        for batch in batches:
+        for batch in lean(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                packer.add(doc_id, token_ids(text.as_py(), files))
+                packer.add(doc_id, token_ids(text.as_py(), files, special))
             done = packer.emitted()
             rows, first = _rows(done, first), first + len(done)
             if rows:

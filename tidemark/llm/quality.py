@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .sampling import held_out, labelled
 
 #: At most so many labelled documents are learnt from.
@@ -145,7 +146,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Field:
     """A field from at most `most` labelled documents; their features are made where the documents are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             made = [line_features(t.as_py())[0].tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(made, pa.binary())], names=["y", "x"])
 
@@ -158,7 +159,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     field = trained(docs, labels, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             scores = field.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import union, written
+from .common import lean, union, written
 
 SHINGLE = 3
 SEED = 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and `fp`, for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             fps = [fingerprint(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -140,7 +140,7 @@ def links(fps: DataFrame, radius: int = RADIUS, largest: int = LARGEST) -> DataF
         held: list[int] = []
         at = None
         out: list[tuple[int, int]] = []
-        for batch in batches:
+        for batch in lean(batches):
             for mask, key, fp in zip(*(batch.column(c).to_pylist() for c in ("mask", "key", "fp")), strict=True):
                 if (mask, key) != at:
                     out += star(held, radius)
@@ -231,7 +231,7 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     unnamed = written(ids.filter(c("doc_id").isNull() & c("component_id").isNull()).select(c("fingerprint").alias("_named")).distinct(), "unnamed")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             fps = [f"{fingerprint(t.as_py()) & (1 << BITS) - 1:016x}" for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.string())], names=[*batch.schema.names, "_fp"])
 

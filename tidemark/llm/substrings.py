@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 WINDOW = 35
 GRAM = 8
 #: Odd multipliers of the rolling hashes.
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_CACHED = 1 << 19
+_CACHED = 1 << 16
 _SPLIT = re.compile(rb"([ \t\n\x0b\x0c\r]+)")
 
 
@@ -102,7 +102,7 @@ def all_paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, known = Roller(_M1), Roller(_M2), _Hashes()
-        for batch in batches:
+        for batch in lean(batches):
             out: list[list] = [[], [], [], [], [], []]
             for id_, tie, text in zip(batch.column("_id").to_pylist(), batch.column("_tie").to_pylist(), batch.column("_text"), strict=True):
                 words = text.as_py().encode().split()
@@ -123,7 +123,7 @@ def _windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, known = Roller(_M1), Roller(_M2), _Hashes()
-        for batch in batches:
+        for batch in lean(batches):
             for id_, tie, text, spans_ in zip(batch.column("_id").to_pylist(), batch.column("_tie").to_pylist(), batch.column("_text"), batch.column("spans"), strict=True):
                 h = _word_hashes(text.as_py().encode().split(), known)
                 ends = spans_.values.flatten()
@@ -176,7 +176,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool
     met = tied.join(spans.withColumnsRenamed({"_id": "_i", "_tie": "_t"}), tied["_id"].eqNullSafe(F.col("_i")) & (tied["_tie"] == F.col("_t")), "left")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             rows = []
             for text, found in zip(batch.column("_text"), batch.column("_spans"), strict=True):
                 words = text.as_py().encode().split()
@@ -187,7 +187,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=[*keep, "n_words", "n_removed", "kept_sha256"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             out = []
             for text, raw, found in zip(batch.column("text"), batch.column("_text"), batch.column("_spans"), strict=True):
                 if found.is_valid:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .sampling import held_out, labelled, unlabelled
 
 #: At most so many confirmed toxic documents, and about so many unlabelled ones, are learnt from.
@@ -37,7 +38,7 @@ WORDS, TOLD = 3, 8.0
 THRESHOLD = 0.3
 STEPS, RATE, SPARSE = 300, 0.05, 1e-2
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 1 << 19
+_REMEMBERED = 1 << 17
 
 
 def word_set(text: str | None) -> set[str]:
@@ -145,7 +146,7 @@ def trained(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, othe
     """A classifier from bounded samples; distinct words are found where the documents are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(word_set(t.as_py()))) for t in batch.column("text")], pa.string())], names=["words"])
 
     bags = lambda df: df.select("text").mapInArrow(run, "words string").toArrow().column("words").to_pylist()
@@ -159,7 +160,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     classifier = trained(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             scores = [classifier.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
