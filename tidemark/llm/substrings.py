@@ -37,6 +37,8 @@ GRAM = 8
 #: Odd multipliers of the rolling hashes.
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _CACHED = 1 << 16
+#: Rows of window hashes after which a batch goes to Spark.
+WINDOWS_A_BATCH = 1 << 16
 _SPLIT = re.compile(rb"([ \t\n\x0b\x0c\r]+)")
 
 
@@ -121,15 +123,26 @@ def _windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     """The hashes of the windows of the given spans, from the source text."""
     schema = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("_id", pa.int64()), ("_tie", pa.int64()), ("at", pa.int32())])
 
+    def table(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x if k == 2 else np.concatenate(x), schema.types[k]) for k, x in enumerate(columns)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, known = Roller(_M1), Roller(_M2), _Hashes()
         for batch in lean(batches):
+            out: list[list] = [[], [], [], [], []]
             for id_, tie, text, spans_ in zip(batch.column("_id").to_pylist(), batch.column("_tie").to_pylist(), batch.column("_text"), batch.column("spans"), strict=True):
                 h = _word_hashes(text.as_py().encode().split(), known)
-                ends = spans_.values.flatten()
-                at = np.concatenate([np.arange(x, y + 1) for x, y in zip(ends[0].to_pylist(), ends[1].to_pylist(), strict=True)])
-                one, two = a.of(a.sums(h), at, at + window), b.of(b.sums(h), at, at + window)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([id_] * len(at), pa.int64()), pa.array(np.full(len(at), tie)), pa.array(at.astype(np.int32))], schema=schema)
+                first, last = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in spans_.values.flatten())
+                n = last - first + 1
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                out[0].append(a.of(a.sums(h), at, at + window).view(np.int64)), out[1].append(b.of(b.sums(h), at, at + window).view(np.int64))
+                out[2] += [id_] * len(at)
+                out[3].append(np.full(len(at), tie)), out[4].append(at.astype(np.int32))
+                if len(out[2]) >= WINDOWS_A_BATCH:
+                    yield table(out)
+                    out = [[], [], [], [], []]
+            if out[0]:
+                yield table(out)
 
     grouped = spans.groupBy("_id", "_tie").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     # a row that repeats another is hashed for each, and rightly: all its windows are repeated
