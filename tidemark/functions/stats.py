@@ -15,7 +15,7 @@ def moments(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     Powers are centred by the group's mean, found in a first pass, so that they don't cancel."""
     v = F.col(value).cast("double")
     first = df.groupBy(*keys).agg(F.avg(v).alias("_m"))
-    joined = df.join(first, list(keys)) if keys else df.crossJoin(F.broadcast(first))  # one row
+    joined = df.join(first, list(keys)) if keys else df.withColumn("_m", F.lit(first.first()["_m"]).cast("double"))
     d = v - F.col("_m")
     sums = joined.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.sum(d * d * d).alias("_3"), F.sum(d * d * d * d).alias("_4"))
     n, s = F.col("n").cast("double"), F.col("std")
