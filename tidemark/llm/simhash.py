@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, union, written
@@ -103,6 +103,8 @@ class BKTree:
 
 def star(fps: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """Each distinct fingerprint of a shard that isn't the least of its component there, with that least one."""
+    if len(fps) < 2:
+        return []
     parent = list(range(len(fps)))
 
     def top(k: int) -> int:
@@ -164,13 +166,16 @@ def links(fps: DataFrame, radius: int = RADIUS, largest: int = LARGEST) -> DataF
         else:
             rows = rows.select("fp", F.explode(choices).alias("mask"))
         keyed = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        shard = Window.partitionBy("mask", "key")
-        counted = keyed.withColumn("n", F.count("*").over(shard)).withColumn("fp", F.col("fp"))
-        build = counted.filter("n > 1") if last else counted.filter((F.col("n") > 1) & (F.col("n") <= largest))
-        found.append(build.sortWithinPartitions("mask", "key", "fp").select("mask", "key", "fp").mapInArrow(linked, "a long, b long"))
-        if last:
+        build = keyed
+        if not last:
+            # counted by an aggregation, so that no task holds all of a large shard
+            large = written(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > largest).select("mask", "key"), "large-shards")
+            some = not large.isEmpty()
+            build = keyed.join(large, ["mask", "key"], "left_anti") if some else keyed
+        found.append(build.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").select("mask", "key", "fp").mapInArrow(linked, "a long, b long"))
+        if last or not some:
             break
-        rows = counted.filter(F.col("n") > largest).select("fp", "mask")
+        rows = keyed.join(large, ["mask", "key"], "left_semi").select("fp", "mask")
         level = {m: [m | f for f in band_masks([b for b in range(BITS) if not m >> b & 1], radius)] for new in level.values() for m in new}
     return union(found).distinct()
 
