@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import neardup
+from tidemark.llm import neardup, simhash
 
 
 def shingle_set(text):
@@ -57,3 +57,11 @@ def test_rows_with_one_doc_id(spark):
     rows = [(1, a), (2, a), (2, b), (2, b), (None, b), (None, "c d e")]
     got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "c d e"), (1, a), (2, b)]
+
+
+def test_simhash_keeps_a_component_of_a_shared_doc_id(spark):
+    """Unrelated texts under one doc_id both stay, and a row goes whose text is a copy of another's."""
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, b), (3, "c d e"), (3, "f g h i")]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (2, b), (3, "c d e"), (3, "f g h i")]

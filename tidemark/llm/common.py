@@ -40,4 +40,29 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-__all__ = ["SPACES", "SPACES_RE", "lean", "n_words", "shared_dir", "table", "union", "words", "written"]
+def tie(text: Column) -> Column:
+    """A text's hash, 128 bits; null and blank texts have the same."""
+    text = F.coalesce(text, F.lit(""))
+    return F.unhex(F.md5(F.when(F.btrim(text, F.lit(SPACES)) == "", F.lit("")).otherwise(text)))
+
+
+def one_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of docs for each root: that with the smallest doc_id, a null one last, and of these with the least
+    hash. rooted: `_id`, `_tie`, the number `_n` of their rows, and `root`, which is the same for equal texts."""
+    c = F.col
+    least = rooted.groupBy("root").agg(F.min(F.struct(c("_id").isNull().alias("no"), "_id", "_tie", "_n")).alias("k")).select("k._id", "k._tie", "k._n")
+    least = written(least, "representatives")
+    tied = docs.select(*docs.columns, c("doc_id").cast("long").alias("_i"), tie(c("text")).alias("_t"))
+    met = lambda some: tied.join(some, c("_i").eqNullSafe(c("_id")) & (c("_t") == c("_tie")), "left_semi")
+    # rows that share doc_id and text are few; written, so that Spark knows how few. Of these any one
+    shared = written(least.filter("_n > 1"), "shared-rows")
+    return met(least.filter("_n = 1")).select(*docs.columns).unionByName(met(shared).dropDuplicates(["_i", "_t"]).select(*docs.columns))
+
+
+def least_ids(rows: DataFrame) -> DataFrame:
+    """The smallest `_id` of each `_tie`, a null one last, and the number of rows that share both."""
+    counts = rows.groupBy("_id", "_tie").agg(F.count("*").alias("_n"))
+    return counts.groupBy("_tie").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_n")).alias("k")).select("k._id", "_tie", "k._n")
+
+
+__all__ = ["SPACES", "SPACES_RE", "lean", "least_ids", "n_words", "one_each", "shared_dir", "table", "tie", "union", "words", "written"]

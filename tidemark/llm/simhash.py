@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, union, written
+from .common import lean, least_ids, one_each, tie, union, written
 
 SHINGLE = 3
 SEED = 42
@@ -221,26 +221,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, with the columns of docs: that with the smallest doc_id, and of rows that
-    share it any one with the least text. Documents without a doc_id stay only where their component has none
-    with one, one for each fingerprint."""
+    """One document of each component, with the columns of docs: that with the smallest doc_id, a null one last, and
+    of rows that share it one with the least hash of its text. Rows are told apart by doc_id and text, so that one
+    doc_id may stay for several components."""
     c = F.col
-    ids = written(near_duplicates(docs.select("doc_id", "text"), radius), "components")
-    keep = ids.filter(c("doc_id") == c("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    # ids that several rows share are few; written, so that Spark knows how few
-    shared = written(keep.filter("n > 1").select("doc_id"), "shared-ids")
-    once = docs.join(keep.filter("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    several = docs.join(shared, "doc_id", "left_semi").select(*docs.columns)
-    least = several.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("_least"))
-    several = several.join(least, "doc_id").filter(F.coalesce("text", F.lit("")) == c("_least")).select(*docs.columns).dropDuplicates(["doc_id"])
-    unnamed = written(ids.filter(c("doc_id").isNull() & c("component_id").isNull()).select(c("fingerprint").alias("_named")).distinct(), "unnamed")
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in lean(batches):
-            fps = [f"{fingerprint(t.as_py()) & (1 << BITS) - 1:016x}" for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.string())], names=[*batch.schema.names, "_fp"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    nameless = docs.filter("doc_id is null").mapInArrow(marked, f"{fields}, _fp string")
-    nameless = nameless.join(unnamed, c("_fp") == c("_named"), "left_semi").dropDuplicates(["_fp"]).select(*docs.columns)
-    return once.unionByName(several).unionByName(nameless)
+    rows = docs.select(c("doc_id").cast("long").alias("_id"), tie(c("text")).alias("_tie"))
+    # each text once; as doc_id goes a number of the text, so that the component's name is a text of its own
+    texts = docs.select(tie(c("text")).alias("_tie"), "text").dropDuplicates(["_tie"]).withColumn("doc_id", F.monotonically_increasing_id())
+    texts = written(texts, "texts")
+    roots = near_duplicates(texts.select("doc_id", "text"), radius).select("doc_id", c("component_id").alias("root"))
+    roots = written(texts.select("_tie", "doc_id").join(roots, "doc_id").select("_tie", "root"), "roots")
+    return one_each(docs, written(least_ids(rows), "least-ids").join(roots, "_tie"))
