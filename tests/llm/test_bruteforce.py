@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, mixing, packing, quality, rules, simhash, substrings, topk, toxicity
+from tidemark.llm import mixing, packing, quality, rules, simhash, substrings, topk, toxicity
 
 WORDS = [f"{a}{b}" for a in ("the", "of", "re", "sta", "no", "ing") for b in ("", "n", "tion", "ble", "er", "um")]
 
@@ -231,11 +231,3 @@ def test_held_out_accuracy(spark, module, label, least):
     got = module.scored(known, labels).join(labels, "doc_id").filter("held_out")
     right = got.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
     assert right >= least, right
-
-
-def test_html_two_passes():
-    text = "This is the first part of a story that goes on for a while and has all of the words that a text in this language has, so that it is long enough to be decided by itself, which takes about two hundred letters in all."
-    page = f"<html><body><div class='menu'><a href=x>Home</a> <a href=y>News</a></div><h1>Title</h1><p>{text}</p><p>Short.</p><p>{text}</p><div><a href=z>More of this kind of thing</a></div><footer>&copy; 2020</footer></body></html>"
-    assert html.main_text(page).split("\n") == ["Title", text, "Short.", text]
-    marked = "<main><h2>A &amp; B</h2><p>one<br>two  three</p><ul><li>x<li>y</ul><section class='comments'><p>I think so too</p></section></main><aside>no</aside>"
-    assert html.main_text(marked).split("\n") == ["A & B", "one two three", "x", "y"]
