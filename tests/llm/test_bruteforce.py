@@ -1,5 +1,6 @@
 """Operators against plain versions of what they compute."""
 
+import math
 import random
 import re
 import zlib
@@ -7,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, quality, rules, simhash, substrings, topk, toxicity
@@ -125,17 +127,57 @@ def test_substrings(rows, docs, window, gram):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()), i
 
 
+def best_of(v, k=5):
+    """Every row that is a query against all others, in whole numbers."""
+    q = [[math.floor(256 * float(x)) for x in row] for row in v]
+    out = []
+    for i in range(0, len(q), 50):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in range(len(q)) if j != i)[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return out
+
+
+def found_of(spark, v, kind="float", **how):
+    frame = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], f"vec_id long, embedding array<{kind}>")
+    return sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(frame, F.col("vec_id") % 50 == 0, **how).collect())
+
+
 def test_topk(spark):
     r = np.random.default_rng(4)
     v = np.concatenate([r.normal(size=(400, 8)), np.repeat(r.normal(size=(5, 8)), 30, axis=0), np.zeros((20, 8))]).astype(np.float32)
-    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
-    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(frame, F.col("vec_id") % 50 == 0, shard_rows=150, block_queries=4).collect())
-    q = np.floor(256 * v.astype(float)).astype(np.int64)
-    want = []
-    for i in range(0, len(q), 50):
-        best = sorted((-int(q[i] @ q[j]), j) for j in range(len(q)) if j != i)[:5]
-        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert got == want
+    assert found_of(spark, v, shard_rows=150, block_queries=4) == best_of(v)
+
+
+def test_topk_of_large_components(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(220, 3)) * 10.0 ** r.integers(-3, 7, size=(220, 1))
+    v[7], v[50] = (70_000.0, 0.0, 0.0), (1.0, 0.0, 0.0)
+    assert found_of(spark, v, "double", shard_rows=64) == best_of(v)
+    # products beyond 64 bits are compared as whole numbers and given as the nearest long
+    huge = [[1.0, 0.0], [3e15, 0.0], [2e15, 0.0], [-3e15, 1.0], [float("1e300"), 0.0]] + [[float(k), 1.0] for k in range(46)]
+    huge[50] = [3e15, 1.0]
+    got = {(q, n): (i, s) for q, n, i, s in found_of(spark, huge, "double")}
+    assert [got[50, n][0] for n in (1, 2)] == [1, 2] and got[50, 1][1] == (1 << 63) - 1
+    assert [got[0, n] for n in (1, 2, 3)] == [(i, (1 << 63) - 1) for i in (1, 2, 50)] and got[0, 4] == (49, 256 * 256 * 44)
+
+
+def test_topk_skips_shards(spark):
+    """In clusters far apart most shards are never searched, and the result is the same."""
+    r = np.random.default_rng(6)
+    middle = r.normal(size=(20, 16)) * 5
+    v = np.concatenate([middle[k] + 0.05 * r.normal(size=(120, 16)) for k in range(20)])
+    r.shuffle(v)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    data = topk.quantised(frame)
+    placed = topk.placed(data, len(v), 128)
+    built = topk.trees(placed, 128).cache()
+    queries = placed.filter("vec_id % 50 = 0").select("row", "dim", "v", F.lit(None).cast("long").alias("least"))
+    first = topk._bounded(queries, built, topk.FIRST, 64).cache()
+    fifth = Window.partitionBy("q").orderBy(F.desc("score"))
+    known = topk._searched(queries, first, built, 5, 64).withColumn("n", F.row_number().over(fifth)).filter("n = 5").select(F.col("q").alias("row"), F.col("score").alias("least"))
+    pairs = topk._bounded(queries.drop("least").join(known, "row"), built, None, 64).count()
+    assert built.count() >= 20 and pairs < 0.3 * built.count() * queries.count()
+    assert found_of(spark, v, "double", shard_rows=128) == best_of(v)
 
 
 def test_permutation():
