@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -117,7 +118,6 @@ def test_bk_tree():
 def test_substrings(rows, docs, window, gram):
     got = {r["doc_id"]: r for r in substrings.removed(docs.select("doc_id", "text"), window, gram).collect()}
     import hashlib
-    from collections import Counter
 
     every = Counter(tuple(w[k : k + window]) for _, t, _ in rows for w in [t.split()] for k in range(len(w) - window + 1))
     for i, t, _ in rows:
@@ -188,11 +188,66 @@ def test_permutation():
         assert (mixing.permuted(np.full(n, 3), np.full(n, 1), np.full(n, n), block, back=True) == at).all()
 
 
-def test_shard_counts():
-    slots = np.array([1000, 3, 0, 50_000])
-    parts = [mixing.shard_counts(slots, k, 7) for k in range(7)]
-    assert (sum(h for _, h in parts) == slots).all()
-    assert all((b == sum(h for _, h in parts[:k])).all() for k, (b, _) in enumerate(parts))
+def test_draws(spark):
+    """Each shard draws as many slots as it has, of each source about its share."""
+    sources = spark.createDataFrame([(0, 5000), (1, 3000), (2, 0), (3, 2000), (4, 17)], "s int, slots long")
+    counts, shards = mixing.drawn(sources, 100)
+    got = counts.collect()
+    whole = {k: sum(x["held"] for x in got if x["shard"] == k) for k in range(shards)}
+    assert shards == 101 and whole == {k: 100 if k < 100 else 17 for k in range(101)}
+    for s, n in ((0, 5000), (1, 3000), (3, 2000)):
+        each = np.array([sum(x["held"] for x in got if (x["shard"], x["s"]) == (k, s)) for k in range(100)])
+        p = n / 10_017
+        assert abs(each.sum() - 10_000 * p) < 5 * (10_000 * p * (1 - p)) ** 0.5 and 0.5 < each.var() / (100 * p * (1 - p)) < 2
+
+
+def test_targets(spark):
+    """Sharing by weight with ceilings, against doing it step by step."""
+    r = random.Random(8)
+    for n in (1, 4, 9):
+        size = {f"s{k:02}": r.choice([0, 3, 50, 1000, 40_000]) for k in range(n)}
+        sized = spark.createDataFrame([(s, x, 1) for s, x in size.items()], "source string, size long, copies long")
+        got = {x["source"]: x["target"] for x in mixing.targets(sized).collect()}
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size))}
+        want, open_, left = {}, set(size), 1.5 * sum(size.values())
+        while open_:
+            level = left / sum(weight[s] for s in open_)
+            full = {s for s in open_ if weight[s] * level > 2 * size[s]}
+            for s in full or open_:
+                want[s] = 2.0 * size[s] if full else weight[s] * level
+            left, open_ = left - sum(want[s] for s in full), open_ - full if full else set()
+        assert got == pytest.approx(want)
+
+
+def test_mixing(spark, rows):
+    """What is taken of each document, and the mixed texts, against counting word by word."""
+    more = [*rows, *[(900, "same words in a row " * 30, "s1")] * 7, (900, "same words in a row " * 30, None)]
+    docs = spark.createDataFrame([(*x, k % 2) for k, x in enumerate(more)], "doc_id long, text string, source string, odd int")
+    sized, sources = mixing._prepared(docs)
+    placed, slots_ = mixing.offsets(sized, sources), mixing.slots(sources)
+    at = {(x["s"], x["start"], x["doc_id"], x["tie"]): x["size"] for x in placed.filter("size > 0").collect()}
+    length = {x["s"]: x["source_size"] for x in sources.collect()}
+    hits = {s: np.zeros(n, int) for s, n in length.items()}
+    for x in slots_.collect():
+        a = x["block"] * mixing.BLOCK_WORDS
+        assert a + x["words"] <= min(a + mixing.BLOCK_WORDS, length[x["s"]])
+        hits[x["s"]][a : a + x["words"]] += 1
+    tiled = {s: np.zeros(n, int) for s, n in length.items()}
+    for (s, start, _, _), size in at.items():
+        tiled[s][start : start + size] += 1
+    assert all((x == 1).all() for x in tiled.values())
+    want = sorted((i, int(hits[s][start : start + size].sum())) for (s, start, i, _), size in at.items())
+    got = mixing.mixed(docs).collect()
+    assert sorted((x["doc_id"], x["taken"]) for x in got if x["size"]) == want and len(got) == len(more)
+    for x in sources.collect():
+        assert sum(y["taken"] for y in got if y["source"] == x["source"]) == int(x["target"] + 0.5)
+    texts = mixing.mixed_texts(docs).collect()
+    words = lambda some: Counter((x["doc_id"], x["source"], x["odd"]) for x in some for _ in (x["text"] or "").split())
+    held = Counter()
+    for (s, start, i, tie), size in at.items():
+        held[i, tie] += int(hits[s][start : start + size].sum())
+    key = {(x["doc_id"], x["tie"]): (x["doc_id"], x["source"], x["odd"]) for x in docs.withColumn("tie", mixing._tie(docs)).collect()}
+    assert words(texts) == Counter({key[k]: n for k, n in held.items() if n})
 
 
 @pytest.mark.parametrize("block", [7, 64])

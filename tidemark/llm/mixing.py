@@ -1,17 +1,20 @@
 """Mixing sources to target weights by blocks.
 
 The words of a source form one stream: its documents in a pseudorandom order, cut into blocks of equal length.
-A source's target says how many block slots it fills; how many of them each output shard gets is drawn
-multinomially, by halving the shards again and again with binomial draws, so that a shard's counts come from its
-own number alone and the source's total is exact. Slot k of a source is position k mod n of pass k div n, and a
-pseudorandom permutation of the source's n block numbers maps it to a block; slots and blocks then join by
-number. The last slot of a source is trimmed, so a source's words are its rounded target. No source is asked for
-more than two passes.
+A source's target says how many block slots it fills. Output shards have a fixed number of slots, and each shard draws
+its source counts multinomially, with the sources' slots as weights: every slot's hash is a place on a line on which
+each source has as many places as slots. A source's slots are numbered through the shards; where it was drawn more often
+than it has slots the last draws go, and where less, what lacks is put into further shards, so that totals are
+exact. Slot k of a source is position k mod n of pass k div n, and a pseudorandom permutation of the source's n block
+numbers maps it to a block; slots and blocks then join by number. The last slot of a source is trimmed, so a source's
+words are its rounded target. No source is asked for more than two passes.
 
-No task holds a whole source: word offsets come from sums of bins of about `DOCS_PER_BIN` documents.
+No task holds a whole source: draws meet the line by stretches of it, word offsets come from sums of bins of about
+`DOCS_PER_BIN` documents, and rows that are equal in all columns are one row with a count until they are placed.
 
 Defined cases: a null text has no words; null sources are one source, last in order; documents without words
-take no part and get 0; repeated rows are documents of their own; an empty table gives an empty result.
+take no part and get 0; repeated rows are documents of their own; rows that differ in any column stay apart, but for
+columns of maps, which have no hash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,16 +30,23 @@ from .common import n_words, words, written
 BLOCK_WORDS = 1024
 SLOTS_PER_SHARD = 1024
 DOCS_PER_BIN = 2000
+#: Parts of the line that draws meet sources by, and equal rows that one row stands for when they are listed.
+STRETCHES, COPIES = 4096, 10_000
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = 20
 
 
+def _tie(docs: DataFrame):
+    """The hash of a row's columns."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """What identifies a document and how many words it has."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(text).alias("tie"))
+    """What identifies a document, how many words it has and how many rows are equal to it."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _tie(docs).alias("tie"))
+    return rows.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("copies"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -45,7 +55,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     Sharing by weight with ceilings ends at one level: a source gets its weight times the level, or its ceiling
     where that is less. With sources in order of ceiling over weight, the level is found by running sums. One
     task orders the sources; it reads one row for each."""
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    by_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("n_docs"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = by_source.withColumn("s", F.row_number().over(by_name) - 1)
     ranked = ranked.withColumn("w", F.get(F.array(*map(F.lit, weights)), F.col("s") % len(weights)).cast("double"))
@@ -98,24 +108,20 @@ def place_of(s: pd.Series, turn: pd.Series, n: pd.Series, block: pd.Series) -> p
     return pd.Series(permuted(s, turn, n, block, back=True))
 
 
-def shard_counts(slots: np.ndarray, shard: int, shards: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """How many slots of each source fall before a shard, and how many in it."""
-    before, held, low, high = np.zeros_like(slots), slots.copy(), 0, shards
-    while high - low > 1:
-        middle = (low + high) // 2
-        left = np.random.default_rng([seed, low, high]).binomial(held, (middle - low) / (high - low))
-        if shard < middle:
-            held, high = left, middle
-        else:
-            before, held, low = before + left, held - left, middle
-    return before, held
+def drawn(sized: DataFrame, slots_per_shard: int = SLOTS_PER_SHARD) -> tuple[DataFrame, int]:
+    """How many slots each shard drew of each source, `s`, `shard` and `held`, and how many shards there are.
 
-
-def _drawn(frames):
-    for f in frames:
-        for shard, shards, s, slots in zip(f["shard"], f["shards"], f["ss"], f["slots"], strict=True):
-            before, held = shard_counts(np.asarray(slots, np.int64), shard, shards)
-            yield pd.DataFrame({"shard": shard, "s": np.asarray(s, np.int64), "before": before, "held": held})
+    sized: `s` and `slots`. Draws and sources meet by `STRETCHES` equal parts of the line, so that a large source is many
+    keys."""
+    c = F.col
+    every = sized.agg(F.sum("slots")).first()[0] or 0
+    step = max(1, -(-every // STRETCHES))
+    start = F.coalesce(F.sum("slots").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    line = sized.select("s", "slots", start.alias("_from")).filter("slots > 0")
+    line = line.select("s", "_from", (c("_from") + c("slots")).alias("_to"), F.explode(F.sequence(F.floor(c("_from") / step), F.floor((c("_from") + c("slots") - 1) / step))).alias("_part"))
+    draws = sized.sparkSession.range(every).select(F.floor(c("id") / slots_per_shard).alias("shard"), F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(max(1, every))).alias("_u"))
+    met = draws.withColumn("_part", F.floor(c("_u") / step)).join(line, "_part").filter((c("_u") >= c("_from")) & (c("_u") < c("_to")))
+    return met.groupBy("s", "shard").agg(F.count("*").alias("held")), -(-every // slots_per_shard)
 
 
 def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
@@ -129,11 +135,16 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard: i
     sized = sized.withColumn("short_at", place_of("s", "turn", "n", c("n") - 1)).withColumn("rest", c("wanted") - c("turn") * c("source_size"))
     sized = sized.withColumn("last", F.when(c("rest") <= c("short_at") * b, up(c("rest"))).otherwise(up(c("rest") + c("short"))))
     sized = sized.withColumn("slots", c("turn") * c("n") + c("last"))
-    one = sized.agg(F.collect_list(F.struct("s", "slots")).alias("x"), F.sum("slots").alias("all"))
-    one = one.select(F.sort_array("x").alias("x"), F.greatest(F.lit(1), F.floor((c("all") + slots_per_shard - 1) / slots_per_shard)).cast("long").alias("shards")).filter(F.size("x") > 0)
-    shards = one.select(c("x.s").alias("ss"), c("x.slots").alias("slots"), "shards", F.explode(F.sequence(F.lit(0).cast("long"), c("shards") - 1)).alias("shard"))
-    drawn = shards.repartition("shard").mapInPandas(_drawn, "shard long, s long, before long, held long").filter("held > 0")
-    each = drawn.join(sized.drop("slots"), "s").withColumn("k", F.explode(F.sequence(c("before"), c("before") + c("held") - 1)))
+    sized = written(sized, "source-slots")
+    counts, shards = drawn(sized, slots_per_shard)
+    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = written(counts.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0))), "draws")
+    cut = counts.join(sized, "s").withColumn("held", F.least(c("held"), c("slots") - c("before"))).filter("held > 0")
+    got = counts.groupBy("s").agg(F.sum("held").alias("before"))
+    lacking = sized.join(got, "s", "left").withColumn("before", F.coalesce("before", F.lit(0))).withColumn("held", c("slots") - c("before")).filter("held > 0")
+    lacking = lacking.withColumn("shard", F.lit(shards).cast("long"))
+    each = cut.unionByName(lacking.select(cut.columns)).withColumn("k", F.explode(F.sequence(c("before"), c("before") + c("held") - 1)))
+    each = each.withColumn("shard", F.when(c("shard") == shards, shards + F.floor((c("k") - c("before")) / slots_per_shard)).otherwise(c("shard")))
     each = each.withColumn("pass", F.floor(c("k") / c("n")).cast("long")).withColumn("at", c("k") % c("n"))
     each = each.withColumn("block", block_at("s", "pass", "n", "at"))
     length = F.when(c("block") == c("n") - 1, b - c("short")).otherwise(b)
@@ -148,13 +159,18 @@ def offsets(sized: DataFrame, sources: DataFrame) -> DataFrame:
     known = sources.select(c("source").alias("_source"), "s", "source_size", "n_docs", "target")
     joined = sized.join(known, c("source").eqNullSafe(c("_source"))).drop("_source")
     mixed = F.xxhash64("doc_id", "tie", F.lit(SEED))
-    binned = joined.withColumn("bin", F.pmod(mixed, F.ceil(c("n_docs") / DOCS_PER_BIN))).withColumn("mixed", mixed)
+    binned = joined.withColumn("bin", F.pmod(mixed, F.ceil(c("n_docs") / DOCS_PER_BIN))).withColumn("mixed", mixed).withColumn("whole", c("size") * c("copies"))
     within = Window.partitionBy("s", "bin").orderBy("mixed", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = binned.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    bins = binned.groupBy("s", "bin").agg(F.sum("size").alias("held"))
+    placed = binned.withColumn("within", F.coalesce(F.sum("whole").over(within), F.lit(0)))
+    bins = binned.groupBy("s", "bin").agg(F.sum("whole").alias("held"))
     before = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("s", "bin", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("earlier"))
-    return placed.join(bins, ["s", "bin"]).withColumn("start", c("earlier") + c("within")).drop("bin", "mixed", "within", "earlier", "n_docs")
+    placed = placed.join(bins, ["s", "bin"]).withColumn("start", c("earlier") + c("within")).drop("bin", "mixed", "whole", "within", "earlier", "n_docs")
+    # equal rows follow each other; many of them are listed in parts
+    one = placed.filter("copies = 1")
+    many = placed.filter("copies > 1").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), c("copies") - 1, F.lit(COPIES).cast("long")))).repartition("s", "doc_id", "tie", "_c")
+    many = many.withColumn("_c", F.explode(F.sequence(c("_c"), F.least(c("_c") + COPIES, c("copies")) - 1)))
+    return one.unionByName(many.withColumn("start", c("start") + c("_c") * c("size")).drop("_c"))
 
 
 def pieces(placed: DataFrame, slots_: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -190,10 +206,14 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     c = F.col
     sized, sources = _prepared(docs)
     held = pieces(offsets(sized, sources), slots(sources)).filter("held > 0")
-    passes = held.groupBy("doc_id", "source", "size", "tie", "start", "pass").agg(F.sum("held").alias("_all"), F.sort_array(F.collect_list(F.struct("first", "held"))).alias("_parts"))
-    passes = passes.select(c("doc_id").alias("_id"), c("source").alias("_source"), c("size").alias("_size"), c("tie").alias("_tie"), "_all", "_parts")
-    texts = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "source", "_hash"])
-    met = texts.join(passes, c("doc_id").eqNullSafe(c("_id")) & (c("_hash") == c("_tie")) & c("source").eqNullSafe(c("_source")))
+    passes = held.groupBy("doc_id", "source", "size", "tie", "copies", "start", "pass").agg(F.sum("held").alias("_all"), F.sort_array(F.collect_list(F.struct("first", "held"))).alias("_parts"))
+    passes = passes.select(c("doc_id").alias("_id"), c("source").alias("_source"), c("size").alias("_size"), c("tie").alias("_tie"), "copies", "_all", "_parts")
+    texts = docs.withColumn("_hash", _tie(docs))
+    # equal rows are few keys: one of each gives the text of them all
+    again = written(sized.filter("copies > 1").select(c("doc_id").alias("_i"), c("tie").alias("_t")), "equal-rows")
+    equal = texts.join(again, c("doc_id").eqNullSafe(c("_i")) & (c("_hash") == c("_t")), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    with_ = lambda rows, some: rows.join(some, c("doc_id").eqNullSafe(c("_id")) & (c("_hash") == c("_tie")) & c("source").eqNullSafe(c("_source")))
+    met = with_(texts, passes.filter("copies = 1")).unionByName(with_(equal, passes.filter("copies > 1")))
     met = met.withColumn("_words", F.when(c("_all") < c("_size"), words(c("text"))))
     some = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_words", (p["first"] + 1).cast("int"), p["held"].cast("int")))), " ")
     out = met.withColumn("text", F.when(c("_all") == c("_size"), c("text")).otherwise(some))
