@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import may_hold
 from tidemark.llm import mixing, packing, quality, rules, simhash, substrings, topk, toxicity
 
 WORDS = [f"{a}{b}" for a in ("the", "of", "re", "sta", "no", "ing") for b in ("", "n", "tion", "ble", "er", "um")]
@@ -114,9 +115,10 @@ def test_bk_tree():
         assert sorted(tree.within(q, 2)) == [k for k, f in enumerate(fps) if (f ^ q).bit_count() <= 2]
 
 
-@pytest.mark.parametrize("window,gram", [(35, 8), (6, 3), (4, 4)])
-def test_substrings(rows, docs, window, gram):
-    got = {r["doc_id"]: r for r in substrings.removed(docs.select("doc_id", "text"), window, gram).collect()}
+@pytest.mark.parametrize("window,gram,anchor_bits", [(35, 8, 64), (6, 3, 64), (4, 4, 64), (6, 3, 3)])
+def test_substrings(rows, docs, window, gram, anchor_bits):
+    """With anchors of three bits nearly all of them collide, and only digests of words tell spans apart."""
+    got = {r["doc_id"]: r for r in substrings.removed(docs.select("doc_id", "text"), window, gram, anchor_bits=anchor_bits).collect()}
     import hashlib
 
     every = Counter(tuple(w[k : k + window]) for _, t, _ in rows for w in [t.split()] for k in range(len(w) - window + 1))
@@ -127,6 +129,34 @@ def test_substrings(rows, docs, window, gram):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()), i
 
 
+def test_compaction(spark):
+    """Nonbranching paths cover what their units cover, and a passage that only occurs as a whole is one path."""
+    r = random.Random(2)
+    shared = [(10 * k + 1, r.randint(1, 9)) for k in range(12)]
+    listed, want = [], Counter()
+    for doc in range(6):
+        at = r.randint(0, 5)
+        run = shared if doc < 4 else shared[3:9]
+        for u, n in run + ([(777, 2)] * 3 if doc % 2 else []):
+            listed.append((u, 0, doc, 5, at, n))
+            want.update((doc, at + j) for j in range(n))
+            at += n
+        listed += listed[-1:] if doc == 2 else []  # equal rows
+    got = substrings.compacted(spark.createDataFrame(listed, "u long, s int, _id long, _tie long, first int, n int")).collect()
+    have = Counter((x["_id"], k) for x in got for k in range(x["first"], x["last"] + 1))
+    assert have == want
+    # the passage and its inner part are three paths in four texts and one in two; a loop breaks at its end
+    assert Counter(x["_id"] for x in got) == {0: 3, 1: 6, 2: 3, 3: 6, 4: 1, 5: 4}
+
+
+def test_may_hold(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("a"), (F.col("id") % 7).alias("b"))
+    keys = rows.filter("a % 3 = 0 or a is null")
+    got = may_hold(rows, keys, "a", "b").collect()
+    assert all(x["_may"] for x in got if x["a"] is None or x["a"] % 3 == 0) and sum(x["_may"] for x in got) < 2200
+    assert not may_hold(rows, keys.filter("false"), "a", "b").filter("_may").count()
+
+
 def best_of(v, k=5):
     """Every row that is a query against all others, in whole numbers."""
     q = [[math.floor(256 * float(x)) for x in row] for row in v]
