@@ -65,16 +65,17 @@ def least_ids(rows: DataFrame) -> DataFrame:
     return counts.groupBy("_tie").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_n")).alias("k")).select("k._id", "_tie", "k._n")
 
 
-#: Bits of the bitmap of `may_hold`, as a power of two: 16 MB, whatever it is made from.
-BITMAP = 27
+#: Bits of the bitmap of `may_hold` for each key, and the power of two that its bits never pass: 16 MB.
+KEY_BITS, BITMAP = 8, 27
 
 
 def may_hold(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
     """rows with `_may`, which is true for every row whose key is among keys, and for few others while these are fewer
     than the bits of the bitmap. So the other rows needn't be shuffled to keys.
 
-    keys must be written, as it is read on its own. The bitmap has `BITMAP` bits at most, so that it may be broadcast."""
-    slot = F.xxhash64(*names, F.lit(11)).bitwiseAND(F.lit((1 << BITMAP) - 1)) + 1
+    keys must be written, as it is read on its own. The bitmap has 2^`BITMAP` bits at most, so that it may be broadcast."""
+    bits = min(BITMAP, (KEY_BITS * keys.count()).bit_length())
+    slot = F.xxhash64(*names, F.lit(11)).bitwiseAND(F.lit((1 << bits) - 1)) + 1
     held = keys.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
     at = rows.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")).withColumn("_slot", F.bitmap_bit_position("_slot"))
     met = at.join(F.broadcast(held), "_bucket", "left")

@@ -4,9 +4,11 @@ Fingerprints within `radius` bits of each other agree on all bits of at least `B
 every link lies within a shard: the fingerprints that share the bits of one choice of bands. A shard's BK-tree
 keeps its children by their integer distance to the parent, and a search follows only edges within the radius of
 the searched distance. Spark's shuffle brings a shard's fingerprints to one task, where they are searched in and
-then inserted into the tree; a shard emits each fingerprint with the least one that it reaches there, never its
+then inserted into the tree: broadcasting the trees would take the fingerprints of all documents through the driver.
+A shard emits each fingerprint with the least one that it reaches there, never its
 pairs. A shard of more than `LARGEST` fingerprints isn't built but split by bands of its remaining bits, at most
-twice; what then remains can't hold more than two to the power of the bits that no band has fixed.
+twice; what then remains can't hold more than two to the power of the bits that no band has fixed, which after two
+splits are 14 of 64, so at most 16,384 fingerprints.
 
 Equal fingerprints are merged before, so that copies cost one row. The components of the links are found by
 alternating star contraction on the distinct fingerprints.
@@ -185,7 +187,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars by turns: each node's larger neighbours, then its lesser ones, are linked to the least
     neighbour, until nothing changes. Each round's edges are written, so that no round computes an earlier one
-    again."""
+    again, and so are the least neighbours: a join whose one side comes straight from an aggregation on its key can't be
+    split where a node has very many neighbours."""
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
     def mark(df: DataFrame) -> tuple:
@@ -194,9 +197,9 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = written(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         edges = written(small, "edges")
@@ -212,12 +215,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     c = F.col
     fps = written(fingerprints(docs), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    # written tables, so that a component or a fingerprint of very many rows can be split where it is joined
     found = components(links(classes.select("fp"), radius))
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    # only fingerprints with a link need their root's name
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = written(found.join(classes.withColumnRenamed("fp", "node"), "node"), "linked")
+    least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    named = written(linked.join(least, "root").select(c("node").alias("fp"), "component_id"), "named")
+    # most fingerprints have no link, and their copies are all they reach
+    met = fps.join(classes, "fp").join(named, "fp", "left")
+    return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "least").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

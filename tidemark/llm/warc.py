@@ -34,8 +34,8 @@ from .common import shared_dir, written
 LEAST = 1000
 #: Bytes after which an archive ends, that a read may cover, and that it may skip to join two records.
 ARCHIVE, READ, GAP = 1 << 30, 8 << 20, 64 << 10
-#: Bytes of an archive that one key of the reading shuffle covers.
-STRETCH = 16 << 20
+#: Bytes of an archive that one key of the reading shuffle covers, and that one task reads.
+STRETCH, TASK = 16 << 20, 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 
 INDEX = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
@@ -144,8 +144,9 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
                 k = j
 
     dealt = selected.select("file", "offset", "length", "url").withColumn("stretch", F.floor(F.col("offset") / STRETCH))
-    parts = selected.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return dealt.repartition(int(parts), "file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
+    # so many tasks that each reads about `TASK` bytes, but none of the cores has nothing to do
+    parts = max(selected.sparkSession.sparkContext.defaultParallelism, -(-(selected.agg(F.sum("length")).first()[0] or 0) // TASK))
+    return dealt.repartition(parts, "file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
