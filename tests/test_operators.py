@@ -50,7 +50,7 @@ def ema(x, n):
 
 def test_ema_needs_no_whole_series(frame):
     x = column(frame, "close")
-    for block in (7, 100_000):
+    for block in (7, 128):
         old, recurrence.BLOCK_ROWS = recurrence.BLOCK_ROWS, block
         recurrence.folded.__defaults__ = (block,)
         got = column(indicators.with_ema(frame, "close", 14, ("symbol",), "close_time"), "ema")
@@ -242,6 +242,64 @@ def test_similar_pairs_misses_none(spark):
     assert got == {(i, j) for i, a in sets for j, b in sets if i < j and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.7}
 
 
+def test_similar_pairs_by_two_tokens(spark):
+    """Sets that have to share two tokens, with tokens that a third of them hold."""
+    r = random.Random(5)
+    sets = [(i, sorted({*r.sample("abcdefghijklmnop", r.randint(4, 9)), *("z" if i % 3 else "")})) for i in range(120)]
+    for least in (0.5, 0.6, 0.8):
+        got = [(x["a"], x["b"]) for x in similarity.similar_pairs(spark.createDataFrame(sets, "k int, t array<string>"), "k", "t", least).collect()]
+        want = {(i, j) for i, a in sets for j, b in sets if i < j and len(set(a) & set(b)) / len(set(a) | set(b)) >= least}
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_recurrence_over_stretches(spark):
+    """Factors of every size, over many blocks and stretches, against a loop."""
+    r = random.Random(3)
+    rows, want, y = [], [], None
+    for i in range(900):
+        a = 0.0 if i in (5, 300, 301) else r.choice([0.01, 0.3, 0.9, 0.999, 1.0])
+        u = None if i == 300 else r.uniform(-1, 1)
+        y = u if a == 0 else None if y is None or u is None else a * y + u
+        rows.append(("s", i, a, u)), want.append(y)
+    d = spark.createDataFrame(rows, "k string, i long, a double, u double").repartition(3)
+    for block in (16, 128):
+        got = recurrence.folded(d, ("k",), "i", F.col("a"), [(F.col("u"), "y")], block).orderBy("i").collect()
+        assert all((x["y"] is None) == (y is None) and (y is None or math.isclose(x["y"], y, rel_tol=1e-9, abs_tol=1e-12)) for x, y in zip(got, want, strict=True))
+
+
+def test_ties_and_repeated_rows(spark):
+    """Equal times and equal rows give the same whatever the partitions."""
+    t0 = datetime(2025, 1, 1)
+    points = spark.createDataFrame([("s", t0 + timedelta(minutes=i // 4), float((i * 7) % 11), i) for i in range(80)], "symbol string, t timestamp_ntz, price double, n int")
+    seen = set()
+    for parts in (1, 3, 7):
+        p = points.repartition(parts, "n")
+        b = bars.from_points(p, 5, "t", "price", "price", ("symbol",), ("n",)).orderBy("open_time").collect()
+        left = spark.createDataFrame([("s", t0 + timedelta(minutes=3))], "symbol string, at timestamp_ntz")
+        a = asof.asof(left, p.withColumnRenamed("t", "rt"), ("symbol",), "at", "rt", ("price",), tie=("n",)).first()["price"]
+        m = bars.last_per_minute(p, "t", ("price", "n"), ("symbol",), ("n",)).orderBy("minute").collect()
+        seen.add((tuple((x["open"], x["close"]) for x in b), a, tuple((x["price"], x["n"]) for x in m)))
+    assert len(seen) == 1
+    got = seen.pop()
+    assert got[0][0] == (0.0, float(19 * 7 % 11)) and got[1] == float(15 * 7 % 11) and got[2][0] == (float(3 * 7 % 11), 3)
+    twice = spark.createDataFrame([("s", t0 + timedelta(minutes=9), 1.0)] * 2 + [("s", t0 + timedelta(minutes=9), 2.0)], "symbol string, at timestamp_ntz, close double")
+    some = spark.createDataFrame([("s", t0 + timedelta(minutes=8), 5.0), ("s", t0 + timedelta(minutes=8), 1.5)], "symbol string, t timestamp_ntz, liq double")
+    sums = asof.trailing_range_sum(twice, some, ("symbol",), "at", "t", 180, "liq", F.col("liq") > F.col("close"), "above").collect()
+    assert sorted((x["close"], x["above"]) for x in sums) == [(1.0, 6.5), (1.0, 6.5), (2.0, 5.0)]
+
+
+def test_as_of_reads_only_its_days(spark, tmp_path):
+    t0 = datetime(2026, 7, 23)
+    rows = [(f"r{i}", "v", "d", t0 + timedelta(hours=i), t0 + timedelta(hours=i), (t0 + timedelta(hours=i)).date()) for i in range(96)]
+    path = str(tmp_path / "records")
+    spark.createDataFrame(rows, "record_id string, venue string, dataset_id string, event_time timestamp_ntz, valid_from_sys timestamp_ntz, event_date date").write.partitionBy("dataset_id", "event_date").parquet(path)
+    read = bitemporal.read_as_of(bitemporal.with_intervals(spark.read.parquet(path)), "d", t0 + timedelta(days=1), t0 + timedelta(days=1, hours=5), "v")
+    assert read.count() == 6
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "event_date" in scan and "dataset_id" in scan
+
+
 def test_scalars(spark):
     r = spark.createDataFrame([("up 1,234.5% or -3 a: b",)], "t string").select(scalars.numbers_in(F.col("t")).alias("n"), scalars.before_colon(F.col("t")).alias("b"), scalars.word_count(F.col("t")).alias("w"), scalars.plain_number(F.lit("$1,234.5%")).alias("p"), scalars.jaccard(F.expr("array()"), F.expr("array()")).alias("j")).first()
     assert tuple(r) == (["1,234.5%", "-3"], "up 1,234.5% or -3 a", 6, 1234.5, 1.0)

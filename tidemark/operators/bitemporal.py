@@ -12,8 +12,10 @@ KEY = ("venue", "dataset_id", "event_time")
 
 
 def with_intervals(records: DataFrame, key: tuple[str, ...] = KEY, start: str = "valid_from_sys", tie: str = "record_id") -> DataFrame:
-    """records with valid_to_sys, when the next row of the key took over."""
-    order = Window.partitionBy(*key).orderBy(start, tie)
+    """records with valid_to_sys, when the next row of the key took over. The day of a record follows from its key; it is
+    named, so that filters on days go below the window to the scan."""
+    day = [c for c in ("event_date",) if c in records.columns and "event_time" in key]
+    order = Window.partitionBy(*key, *day).orderBy(start, tie)
     return records.withColumn("valid_to_sys", F.lead(start).over(order))
 
 

@@ -62,7 +62,7 @@ def scrutinised(cases: DataFrame, history: DataFrame, embargo_days: int = 1, bac
 
 
 def refusals(equity: Column, risk_usd: Column, open_risk_usd: Column, notional: Column, open_margin: Column, entry: Column, stop: Column, liquidation: Column, direction: Column, edge_pct: Column, cost_pct: Column, blocked: Column) -> Column:
-    """Every rule that an order breaks, in order."""
+    """Every rule that an order breaks, in order. The names are fixed values."""
     gap = F.when(direction == "LONG", stop - liquidation).otherwise(liquidation - stop)
     rules = [
         ("trading_blocked", blocked),

@@ -45,10 +45,10 @@ def sanity() -> list[tuple[str, Column]]:
     ]
 
 
-def with_continuity(rows: DataFrame, keys: tuple[str, ...], time: str, price: str, accepted: Column) -> DataFrame:
-    """rows with _prev_price and _prev_time, those of the last accepted row before: rows that were quarantined
-    don't count, rows that only look like phantoms do."""
-    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+def with_continuity(rows: DataFrame, keys: tuple[str, ...], time: str, price: str, accepted: Column, tie: tuple[str, ...] = ()) -> DataFrame:
+    """rows with _prev_price and _prev_time, those of the last accepted row before, at the same time by `tie`, then by
+    price: rows that were quarantined don't count, rows that only look like phantoms do."""
+    w = Window.partitionBy(*keys).orderBy(time, *tie, price).rowsBetween(Window.unboundedPreceding, -1)
     last = lambda x: F.last(F.when(accepted, x), ignorenulls=True).over(w)
     return rows.withColumn("_prev_price", last(F.col(price))).withColumn("_prev_time", last(F.col(time)))
 

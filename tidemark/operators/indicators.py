@@ -85,8 +85,8 @@ def _smoothed(df: DataFrame, keys: tuple[str, ...], series: dict[str, str], seed
     seeds = rows.groupBy(*keys).agg(*(F.when(F.count(x) == n, size(x)).alias(f"_seed_{y}") for x, y in series.items()))
     met = df.join(seeds, list(keys), "left")
     i = F.col("i")
-    steps = [(F.when(i <= last, 0.0).otherwise(1 - k), F.when(i == last, F.col(f"_seed_{y}")).when(i > last, gain * F.col(x)).otherwise(F.lit(float("nan"))), y) for x, y in series.items()]
-    return folded(met, keys, "i", steps).drop(*(f"_seed_{y}" for y in series.values()))
+    steps = [(F.when(i == last, F.col(f"_seed_{y}")).when(i > last, gain * F.col(x)).otherwise(F.lit(float("nan"))), y) for x, y in series.items()]
+    return folded(met, keys, "i", F.when(i <= last, 0.0).otherwise(1 - k), steps).drop(*(f"_seed_{y}" for y in series.values()))
 
 
 def with_ema(df: DataFrame, value: str, n: int, keys: tuple[str, ...], time: str, name: str = "ema") -> DataFrame:
