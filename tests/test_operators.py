@@ -213,6 +213,11 @@ def test_stats(spark):
     assert math.isclose(m["skew"], n / ((n - 1) * (n - 2)) * sum(((v - mean) / std) ** 3 for v in x))
     assert math.isclose(m["kurtosis"], sum(((v - mean) / std) ** 4 for v in x) / n)
     assert 0 < stats.deflated_sharpe(m["sharpe"], n, m["skew"], m["kurtosis"], 20) < stats.probabilistic_sharpe(m["sharpe"], n, m["skew"], m["kurtosis"]) < 1
+    from statistics import NormalDist
+
+    z = [-9.0, -7.5, -2.0, -0.1, 0.0, 0.3, 1.0, 4.0, 7.9, 12.0]
+    cdf = [x["c"] for x in spark.createDataFrame([(x,) for x in z], "z double").select("z", stats.normal_cdf(F.col("z")).alias("c")).orderBy("z").collect()]
+    assert all(abs(a - NormalDist().cdf(x)) < 1e-13 for a, x in zip(cdf, z, strict=True))
     assert stats.probabilistic_sharpe(1.0, 2, 0, 3) == 0 and stats.expected_max_sharpe(1, 1.0) == 0
     r = spark.createDataFrame([([5.0, 1.0, None, 3.0],)], "v array<double>").select(stats.nearest_rank(F.col("v"), 50).alias("x")).first()
     assert r["x"] == 3.0
@@ -322,6 +327,42 @@ def test_predicate_trees(spark, frame):
         strategy.condition({"left": {"feature": "close"}, "op": "gt", "right": {"param": "none"}})
 
 
+def test_feeds_in_predicates(spark, frame):
+    """Features of feeds as of each bar's close, against loops over points."""
+    from tidemark.plans import strategy
+
+    b = frame.select("symbol", "open_time", "close_time", "open", "high", "low", "close", "volume")
+    rows = b.orderBy("close_time").collect()
+    t0 = rows[0]["open_time"]
+    at = lambda m: t0 + timedelta(minutes=m)
+    s = rows[0]["symbol"]
+    r = random.Random(1)
+    book = [(s, at(m), r.uniform(-1, 1)) for m in range(3, 60, 7)]
+    oi = [(s, at(m), 1000.0 + m) for m in range(0, 200, 5)]
+    funding = [(s, at(m), r.uniform(-1, 1)) for m in range(0, 200, 8)]
+    liq = [(s, at(r.randint(0, 200)), r.uniform(90, 110), float(r.randint(1, 9))) for _ in range(40)]
+    liq += liq[:2]
+    feeds = {"book": spark.createDataFrame(book, "symbol string, time timestamp_ntz, imbalance double"), "open_interest": spark.createDataFrame(oi, "symbol string, time timestamp_ntz, open_interest double"), "funding": spark.createDataFrame(funding, "symbol string, time timestamp_ntz, rate double"), "liquidations": spark.createDataFrame(liq, "symbol string, time timestamp_ntz, price double, notional_usd double")}
+    terms = [{"feature": "book_imbalance"}, {"feature": "oi_change", "args": {"n": 3}}, {"feature": "funding_zscore", "args": {"n": 5}}, {"feature": "funding_rate"}, {"feature": "liq_cluster_above", "args": {"n": 30}}, {"feature": "liq_cluster_below", "args": {"n": 30}}]
+    got = strategy.with_features(b, {strategy.key(t): t for t in terms}, feeds).orderBy("close_time").collect()
+    last = lambda points, t: next((x[2] for x in reversed(points) if x[1] <= t), None)
+    change = [(s, x[1], (x[2] - y[2]) / abs(y[2]) * 100) for x, y in zip(oi[3:], oi, strict=False)]
+    score = []
+    for k in range(4, len(funding)):
+        w = [x[2] for x in funding[k - 4 : k + 1]]
+        m = sum(w) / 5
+        score.append((s, funding[k][1], (w[-1] - m) / (sum((x - m) ** 2 for x in w) / 5) ** 0.5))
+    for x in got[:300]:
+        t = x["close_time"]
+        near = [p for p in liq if t - timedelta(minutes=30) <= p[1] <= t]
+        want = [last(book, t), last(change, t), last(score, t), last(funding, t), sum(p[3] for p in near if p[2] > x["close"]), sum(p[3] for p in near if p[2] < x["close"])]
+        assert [x[strategy.key(t)] for t in terms] == [None if w is None else pytest.approx(w) for w in want]
+    tree = {"and": [{"left": t, "op": "gt", "right": -100.0} for t in terms]}
+    assert strategy.signals(b, tree, feeds=feeds).filter("signal").count() > 0 and strategy.signals(b, tree).filter("signal").count() == 0
+    with pytest.raises(strategy.Rejected):
+        strategy.features({"left": {"feature": "oi_change", "timeframe": "1h", "args": {"n": 3}}, "op": "gt", "right": 0.0})
+
+
 def test_depth(spark):
     from tidemark.operators import decisions
 

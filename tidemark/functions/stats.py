@@ -45,6 +45,24 @@ def deflated_sharpe(sharpe: float, n: int, skew: float, kurtosis: float, n_trial
     return probabilistic_sharpe(sharpe, n, skew, kurtosis, expected_max_sharpe(n_trials, spread))
 
 
+def normal_cdf(x: Column) -> Column:
+    """The normal distribution's cumulative probability, by the series around 0; 0 or 1 beyond eight deviations."""
+    z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), x.cast("double")))
+    start = F.struct(z.alias("term"), z.alias("sum"))
+    step = lambda a, k: F.struct((a["term"] * z * z / (2 * k + 1)).alias("term"), (a["sum"] + a["term"] * z * z / (2 * k + 1)).alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(150)), start, step, lambda a: a["sum"])
+    near = 0.5 + F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * total
+    return F.when(x >= 8, 1.0).when(x <= -8, 0.0).otherwise(near)
+
+
+def with_deflated_sharpe(of: DataFrame, n_trials: int) -> DataFrame:
+    """`deflated_sharpe` of each row of moments, the spread of trials taken as half its ratio."""
+    c, one = F.col, expected_max_sharpe(n_trials, 1.0)
+    spread = 1 - c("skew") * c("sharpe") + (c("kurtosis") - 1) / 4 * c("sharpe") * c("sharpe")
+    z = (c("sharpe") - one * F.abs("sharpe") / 2) * F.sqrt(c("n") - 1) / F.sqrt(F.greatest(spread, F.lit(1e-12)))
+    return of.withColumn("deflated_sharpe", F.when(c("n") < 3, 0.0).otherwise(normal_cdf(z)))
+
+
 def nearest_rank(values: Column, percent: float) -> Column:
     """The percentile of an array by rounded index, halves to even."""
     ordered = F.sort_array(F.filter(values, lambda x: x.isNotNull()))

@@ -22,7 +22,7 @@ def ticks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, d: str, minutes: int = 60) -> DataFrame:
-    return bars.from_points(ticks(spark, d), minutes, "ts", "price", "price", KEYS)
+    return bars.from_points(ticks(spark, d), minutes, "ts", "price", "price", KEYS, ("event_id",))
 
 
 def sql_bars(minutes: int = 60, name: str = "b") -> str:
@@ -192,6 +192,32 @@ def liq_cluster_above(spark, d):
     return out.select("symbol", "close_time", r6("above"))
 
 
+@query(
+    "liq_cluster_below",
+    f"WITH {sql_bars()}, e AS (SELECT * FROM events WHERE event_type = 'error') SELECT b.symbol, b.close_time, round(coalesce((SELECT sum(e.value) FROM e WHERE e.ts >= b.close_time - INTERVAL 180 MINUTE AND e.ts <= b.close_time AND e.value < b.close), 0), 6) AS below FROM b WHERE b.symbol = 'click'",
+)
+def liq_cluster_below(spark, d):
+    from . import strategy
+
+    b = hourly(spark, d).filter("symbol = 'click'")
+    feeds = {"liquidations": ticks(spark, d).filter("symbol = 'error'").select(F.lit("click").alias("symbol"), F.col("ts").alias("time"), "price", F.col("price").alias("notional_usd"))}
+    term = {"feature": "liq_cluster_below", "args": {"n": 180}}
+    return strategy.with_features(b, {strategy.key(term): term}, feeds).select("symbol", "close_time", F.round(F.col(f"`{strategy.key(term)}`"), 6).alias("below"))
+
+
+@query(
+    "book_imbalance",
+    f"WITH {sql_bars()}, k AS (SELECT ts, value / 500 - 0.5 AS imbalance FROM events WHERE event_type = 'view') SELECT b.symbol, b.close_time, round(imbalance, 6) AS imbalance FROM (SELECT * FROM b WHERE b.symbol = 'click') AS b ASOF LEFT JOIN k ON k.ts <= b.close_time",
+)
+def book_imbalance(spark, d):
+    from . import strategy
+
+    b = hourly(spark, d).filter("symbol = 'click'")
+    feeds = {"book": ticks(spark, d).filter("symbol = 'view'").select(F.lit("click").alias("symbol"), F.col("ts").alias("time"), (F.col("price") / 500 - 0.5).alias("imbalance"))}
+    term = {"feature": "book_imbalance"}
+    return strategy.with_features(b, {strategy.key(term): term}, feeds).select("symbol", "close_time", F.round(F.col(f"`{strategy.key(term)}`"), 6).alias("imbalance"))
+
+
 @query(
     "funding_cost_interval",
     "WITH f AS (SELECT o_orderdate AS t, sum(o_totalprice / 1e6) AS rate FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) SELECT o_orderkey, round(coalesce((SELECT sum(rate) FROM f WHERE f.t > o_orderdate AND f.t <= o_orderdate + INTERVAL 90 DAY), 0), 4) AS funding FROM orders",
@@ -281,7 +307,7 @@ _GATE = "WITH p AS (SELECT *, last_value(CASE WHEN value > 0 AND value <= 300 TH
 
 
 def _gated(spark, d):
-    t = gate.with_continuity(ticks(spark, d), KEYS, "ts", "price", (F.col("price") > 0) & (F.col("price") <= 300))
+    t = gate.with_continuity(ticks(spark, d), KEYS, "ts", "price", (F.col("price") > 0) & (F.col("price") <= 300), ("event_id",))
     failed = gate.flags(("nonpositive_price", F.col("price") <= 0), ("implausible_price", F.col("price") > 300), gate.phantom(F.col("price")))
     return t.withColumn("failed", failed).withColumn("noted", gate.flags(gate.tick_gap(F.col("ts"))))
 

@@ -163,11 +163,19 @@ def sharpe_moments(spark, d):
     return m.select("strategy_id", "n", *(r6(x) for x in ("mean", "std", "skew", "kurtosis", "sharpe")))
 
 
-@query("deflated_sharpe")
+_ONE = stats.expected_max_sharpe(20, 1.0)
+
+
+@query(
+    "deflated_sharpe",
+    f"""WITH {_PNL}, m AS (SELECT strategy_id, avg(net_pnl) AS m, stddev_samp(net_pnl) AS s, count(*) AS n FROM t GROUP BY 1),
+k AS (SELECT strategy_id, any_value(n) AS n, any_value(m / s) AS sharpe, any_value(m.n * 1.0 / ((m.n - 1.0) * (m.n - 2.0)) / pow(s, 3)) * sum(pow(net_pnl - m, 3)) AS skew, sum(pow(net_pnl - m, 4)) / any_value(pow(s, 4) * m.n) AS kurtosis FROM t JOIN m USING (strategy_id) GROUP BY 1),
+z AS (SELECT strategy_id, (sharpe - {_ONE!r} * abs(sharpe) / 2) * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe, 1e-12)) AS z FROM k)
+SELECT strategy_id, round(CASE WHEN z >= 8 THEN 1.0 WHEN z <= -8 THEN 0.0 WHEN z = 0 THEN 0.5 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda i: exp((2 * i + 1) * ln(abs(z)) - (i + 1) * ln(2) - lgamma(i + 1.5) + ln(pi()) / 2))) END, 6) AS deflated_sharpe FROM z""",
+)
 def deflated_sharpe(spark, d):
     """The moments of each strategy, one row each, and the probability from them."""
-    rows = [(r["strategy_id"], stats.deflated_sharpe(r["sharpe"], r["n"], r["skew"], r["kurtosis"], 20)) for r in stats.moments(pnl(spark, d), "net_pnl", ("strategy_id",)).collect()]
-    return spark.createDataFrame(rows, "strategy_id string, deflated_sharpe double")
+    return stats.with_deflated_sharpe(stats.moments(pnl(spark, d), "net_pnl", ("strategy_id",)), 20).select("strategy_id", r6("deflated_sharpe"))
 
 
 @query("nearest_rank_p95", "WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT event_type, v[1 + CAST(round_even(0.95 * (len(v) - 1), 0) AS BIGINT)] AS p95, v[1 + least(CAST(floor(len(v) * 90 / 100) AS BIGINT), len(v) - 1)] AS p90 FROM s")

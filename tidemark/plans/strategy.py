@@ -16,7 +16,9 @@ from ..functions.timegrid import TIMEFRAMES
 from ..operators import asof, bars, indicators, regimes
 
 #: The features, and the bounds of their argument n, None for those without.
-FEATURES = {"close": None, "high": None, "low": None, "ema": (2, 400), "sma": (2, 400), "rsi": (2, 100), "atr": (2, 200), "adx": (2, 100), "bb_position": (5, 200), "vwap_dist": None, "realized_vol": (5, 400), "atr_pct": (2, 200), "ret_pct": (1, 400)}
+FEATURES = {"close": None, "high": None, "low": None, "ema": (2, 400), "sma": (2, 400), "rsi": (2, 100), "atr": (2, 200), "adx": (2, 100), "bb_position": (5, 200), "vwap_dist": None, "realized_vol": (5, 400), "atr_pct": (2, 200), "ret_pct": (1, 400), "funding_rate": None, "funding_zscore": (3, 200), "oi_change": (1, 288), "book_imbalance": None, "liq_cluster_above": (1, 1440), "liq_cluster_below": (1, 1440)}
+#: Features that come from a feed of their own and have no timeframe: the feed and its value.
+FEEDS = {"funding_rate": ("funding", "rate"), "funding_zscore": ("funding", "rate"), "oi_change": ("open_interest", "open_interest"), "book_imbalance": ("book", "imbalance"), "liq_cluster_above": ("liquidations", "notional_usd"), "liq_cluster_below": ("liquidations", "notional_usd")}
 OPS = {"gt": p.gt, "lt": p.lt, "gte": p.gte, "lte": p.lte}
 KEYS = ("symbol",)
 
@@ -67,6 +69,8 @@ def features(tree: dict, path: str = "entry") -> dict[str, dict]:
             bounds = FEATURES[t["feature"]]
             if set(args) != ({"n"} if bounds else set()) or bounds and not (_is_number(args["n"]) and bounds[0] <= args["n"] <= bounds[1]):
                 raise Rejected(f"{path}.{side}: arguments out of bounds")
+            if t["feature"] in FEEDS and t.get("timeframe") not in (None, "1m"):
+                raise Rejected(f"{path}.{side}: {t['feature']} has no timeframe")
             found[key(t)] = t
         elif not (set(t) == {"param"} and isinstance(t["param"], str)) and not (set(t) == {"const"} and _is_number(t["const"])):
             raise Rejected(f"{path}.{side}: not a term")
@@ -94,9 +98,39 @@ def _on_frame(frame: DataFrame, name: str, n: int, minutes: int, out: str) -> Da
     return frame.withColumn(out, {"sma": indicators.sma, "bb_position": indicators.bb_position, "ret_pct": indicators.pct_change}[name](c, n, o))
 
 
-def with_features(b: DataFrame, terms: dict[str, dict]) -> DataFrame:
+def _from_feed(b: DataFrame, term: dict, feeds: dict[str, DataFrame], out: str) -> DataFrame:
+    """Bars with a feature of a feed, as of their close; null where there is no such feed or nothing in it yet.
+
+    feeds: funding (rate), open_interest (open_interest), book (imbalance), liquidations (price, notional_usd), each
+    with the keys and `time`."""
+    name, n = term["feature"], int(term.get("args", {}).get("n", 0))
+    feed, value = FEEDS[name]
+    if feed not in feeds:
+        return b.withColumn(out, F.lit(None).cast("double"))
+    points = feeds[feed]
+    if feed == "liquidations":
+        # liquidations at prices above or below the close within the last n minutes, in dollars
+        p = points.select(*KEYS, "time", F.col("price").alias("_price"), F.col(value).alias("_usd"))
+        there = F.col("_price") > F.col("close") if name == "liq_cluster_above" else F.col("_price") < F.col("close")
+        return asof.trailing_range_sum(b, p, KEYS, "close_time", "time", n, "_usd", there, "_sum").withColumnRenamed("_sum", out)
+    if name == "funding_zscore":
+        points = indicators.with_zscore(points, value, n, KEYS, "time", "_v")
+    elif name == "oi_change":
+        points = points.withColumn("_v", indicators.pct_change(F.col(value), n, Window.partitionBy(*KEYS).orderBy("time")))
+    else:
+        points = points.withColumn("_v", F.col(value))
+    known = points.filter("_v is not null").select(*KEYS, F.col("time").alias("_t"), "_v")
+    return asof.asof(b, known, KEYS, "close_time", "_t", ("_v",)).withColumnRenamed("_v", out)
+
+
+def with_features(b: DataFrame, terms: dict[str, dict], feeds: dict[str, DataFrame] | None = None) -> DataFrame:
     """Bars of a minute with a column for each feature; a frame is built once for all its features."""
     base = b
+    of_feeds = {k: t for k, t in terms.items() if t["feature"] in FEEDS}
+    for i, (k, t) in enumerate(of_feeds.items()):
+        b = _from_feed(b, t, feeds or {}, f"_feed{i}")
+    b = b.withColumnsRenamed({f"_feed{i}": k for i, k in enumerate(of_feeds)})
+    terms = {k: t for k, t in terms.items() if k not in of_feeds}
     by_frame: dict[str, list[str]] = {}
     for k, t in terms.items():
         by_frame.setdefault(t.get("timeframe") or "1m", []).append(k)
@@ -148,10 +182,10 @@ def condition(tree: dict, params: dict[str, float] | None = None) -> Column:
     return (p.cross_above if tree["op"] == "cross_above" else p.cross_below)(a, b, order)
 
 
-def signals(b: DataFrame, tree: dict, params: dict[str, float] | None = None, scope: tuple[str, ...] = (), stop_n: int = 14, stop_mult: float = 1.5) -> DataFrame:
+def signals(b: DataFrame, tree: dict, params: dict[str, float] | None = None, scope: tuple[str, ...] = (), stop_n: int = 14, stop_mult: float = 1.5, feeds: dict[str, DataFrame] | None = None) -> DataFrame:
     """Bars with `signal`, in scope, and a stop distance of a multiple of the average range, as replay takes them."""
     atr = {"feature": "atr", "args": {"n": stop_n}}
     terms = features(tree) | {key(atr): atr}
-    made = with_features(regimes.with_labels(b, KEYS), terms)
+    made = with_features(regimes.with_labels(b, KEYS), terms, feeds)
     ok = F.col("regime").isin(*scope) if scope else F.lit(True)
     return made.withColumn("signal", condition(tree, params) & ok).withColumn("stop_distance", F.col(f"`{key(atr)}`") * stop_mult).withColumn("regime_ok", ok)
