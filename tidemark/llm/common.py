@@ -66,7 +66,7 @@ def least_ids(rows: DataFrame) -> DataFrame:
 
 
 #: Bits of the bitmap of `may_hold` for each key, and the power of two that its bits never pass: 16 MB.
-KEY_BITS, BITMAP = 8, 27
+KEY_BITS, BITMAP = 16, 27
 
 
 def may_hold(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
