@@ -12,10 +12,10 @@ from tidemark.streaming import live
 T0 = datetime(2025, 1, 1)
 
 
-def run(spark, rows, schema, build, tmp_path, name):
-    """Three files, one micro-batch each."""
-    for k in range(3):
-        part = rows[k * len(rows) // 3 : (k + 1) * len(rows) // 3]
+def run(spark, rows, schema, build, tmp_path, name, files=3):
+    """So many files, one micro-batch each."""
+    for k in range(files):
+        part = rows[k * len(rows) // files : (k + 1) * len(rows) // files]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = build(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
@@ -54,7 +54,7 @@ def test_books(spark, tmp_path):
 
 def test_routes(spark, tmp_path):
     seen = {"clean": 0, "bad": 0}
-    add = lambda name: lambda df: seen.__setitem__(name, seen[name] + df.count())
+    add = lambda name: lambda df, epoch: seen.__setitem__(name, seen[name] + df.count())
     live.routed(F.col("f"), add("clean"), add("bad"))(spark.createDataFrame([(["x"],), ([],), ([],)], "f array<string>"), 0)
     assert seen == {"clean": 2, "bad": 1}
 
@@ -91,3 +91,28 @@ def test_bar_files(spark, tmp_path):
     with pytest.raises(records.MissingData):
         records.load_funding(spark, path, T0 + timedelta(days=1), T0 + timedelta(days=2))
     assert [r["v"] for r in spark.createDataFrame([("bybit_v5_ws",), ("kraken_ws",)], "s string").select(records.venue_of(F.col("s")).alias("v")).collect()] == ["bybit", None]
+
+
+def test_a_batch_that_comes_again_is_written_once(spark, tmp_path):
+    batch = spark.createDataFrame([(["x"],), ([],), ([],)], "f array<string>")
+    write = live.routed(F.col("f"), live.appended_once(str(tmp_path / "clean")), live.appended_once(str(tmp_path / "bad")))
+    for epoch in (0, 1, 1):
+        write(batch, epoch)
+    assert spark.read.parquet(str(tmp_path / "clean")).count() == 4 and spark.read.parquet(str(tmp_path / "bad")).count() == 2
+
+
+def test_state_goes_when_a_key_is_silent(spark, tmp_path):
+    """The key a comes again after a batch that had passed its time without it, or, with state kept for longer, in time."""
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [("a", at(0), "snapshot", 1.0, 2.0), ("b", at(0), "snapshot", 5.0, 6.0), *(("b", at(s), "delta", None, 7.0) for s in (400, 800, 801, 802)), ("a", at(803), "delta", 3.0, None), ("b", at(804), "delta", 8.0, None)]
+    schema = "k string, t timestamp, kind string, a double, b double"
+    for idle_s, wanted in ((60.0, [(1.0, 2.0)]), (3600.0, [(1.0, 2.0), (3.0, 2.0)])):
+        path = tmp_path / f"{idle_s}"
+        path.mkdir()
+        got = run(spark, rows, schema, lambda s: live.merged(s, ("k",), "t", ("a", "b"), idle_s=idle_s), path, f"idle_{int(idle_s)}", files=4)  # noqa: B023
+        assert sorted(x[2:] for x in got if x[0] == "a") == wanted and len([x for x in got if x[0] == "b"]) == 6
+
+
+def test_confirmed(spark):
+    bars = spark.createDataFrame([(1, True), (2, False), (3, None)], "i int, confirm boolean")
+    assert [r["i"] for r in live.confirmed(bars).collect()] == [1]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,28 @@ def chosen(signals: DataFrame, keys: tuple[str, ...], tie: str) -> DataFrame:
     return out.select(*keys, reason.alias("reason"), F.when(reason == "ok", c("best")).alias("strategy_id"), F.when(reason == "ok", c("score")).alias("score"))
 
 
+def cooled(entries: DataFrame, keys: tuple[str, ...], time: str, tie: str, seconds: float) -> DataFrame:
+    """Entries with `cooldown`, true for those within so many seconds of the last that was let through.
+
+    Which go through depends on those before, so a key's entries are read in order, once; a task holds a batch and
+    the last entry of the key that it is at."""
+    names = entries.columns
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, None
+        for f in frames:
+            waits = []
+            for *k, t in f[[*keys, time]].itertuples(index=False, name=None):
+                if k != at:
+                    at, last = k, None
+                waits.append(last is not None and (t - last).total_seconds() < seconds)
+                last = last if waits[-1] else t
+            yield f[names].assign(cooldown=waits)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
+    return entries.repartition(*keys).sortWithinPartitions(*keys, time, tie).mapInPandas(walk, f"{kinds}, cooldown boolean")
+
+
 def vol_bucket(v: Column) -> Column:
     return F.when(v.isNull(), "unknown").when(v < 0.0005, "vol_low").when(v < 0.0015, "vol_mid").otherwise("vol_high")
 

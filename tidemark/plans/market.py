@@ -348,13 +348,25 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     return replay.candidates(b, KEYS, POLICY, replay.Costs())
 
 
-@query("replay_trades")
+#: Signals with their exits, then the trades taken one after another: a row for each signal, k counting them.
+_TRADES = f"""WITH RECURSIVE {sql_bars()},
+m AS (SELECT *, CASE WHEN count(*) OVER {last(5)} = 5 THEN avg(close) OVER {last(5)} END AS sma, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, lead(open) OVER ({W}) * 1.0001 AS entry, lead(close_time) OVER ({W}) AS entry_time FROM b),
+c AS (SELECT *, close - close * 0.02 AS stop, entry + abs(entry - (close - close * 0.02)) * 1.5 AS target FROM (SELECT *, lag(close) OVER ({W}) <= lag(sma) OVER ({W}) AND close > sma AS signal FROM m) WHERE signal AND close > 0 AND i < n - 2),
+x AS (SELECT c.symbol, c.i, c.close, c.stop, c.entry, c.entry_time, y.i AS exit_i, y.close_time AS exit_time, CASE WHEN y.i = least(c.i + 13, c.n - 1) THEN 'time' WHEN y.low <= c.stop THEN 'stop' ELSE 'target' END AS reason, y.close AS y_close, c.target FROM c JOIN m y ON y.symbol = c.symbol AND y.i BETWEEN c.i + 1 AND c.i + 13 WHERE y.i = least(c.i + 13, c.n - 1) OR y.low <= c.stop OR y.high >= c.target QUALIFY row_number() OVER (PARTITION BY c.symbol, c.i ORDER BY y.i) = 1),
+s AS (SELECT *, CASE reason WHEN 'time' THEN y_close WHEN 'stop' THEN stop ELSE target END * 0.9999 AS exit, row_number() OVER (PARTITION BY symbol ORDER BY i) AS k FROM x WHERE i >= 60),
+r AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS k, CAST(60 AS BIGINT) AS free, CAST(10000 AS DOUBLE) AS equity, CAST(0 AS DOUBLE) AS qty, CAST(0 AS DOUBLE) AS gross, CAST(0 AS DOUBLE) AS fees FROM s
+UNION ALL SELECT symbol, k, CASE WHEN q > 0 THEN exit_i + 1 ELSE free END, equity + (exit - entry) * q - (entry + exit) * q * 0.00055, q, (exit - entry) * q, (entry + exit) * q * 0.00055 FROM (SELECT *, CASE WHEN i < free OR lot < 0.001 OR lot * close < 5 OR lot * close > equity * 3 THEN 0.0 ELSE lot END AS q FROM (SELECT s.*, r.free, r.equity, floor(r.equity * 0.0025 / abs(s.close - s.stop) / 0.001 + 1e-9) * 0.001 AS lot FROM r JOIN s ON s.symbol = r.symbol AND s.k = r.k + 1))),
+t AS (SELECT s.symbol, entry_time, exit_time, reason, entry AS entry_price, exit AS exit_price, r.qty, r.gross AS gross_pnl, r.fees, r.gross - r.fees AS net_pnl, r.equity FROM r JOIN s ON s.symbol = r.symbol AND s.k = r.k WHERE r.qty > 0)
+"""
+
+
+@query("replay_trades", _TRADES + "SELECT symbol, entry_time, exit_time, reason, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("entry_price", "exit_price", "qty", "gross_pnl", "fees", "net_pnl", "equity")) + " FROM t")
 def replay_trades(spark, d):
     t = replay.trades(signals(spark, d), KEYS, POLICY, replay.Costs())
     return t.select("symbol", "entry_time", "exit_time", "reason", *(F.round(c, 6).alias(c) for c in ("entry_price", "exit_price", "qty", "gross_pnl", "fees", "net_pnl", "equity")))
 
 
-@query("equity_curve")
+@query("equity_curve", _TRADES + "SELECT symbol, exit_time, round(equity, 6) AS equity, round(peak, 6) AS peak, round((peak - equity) / peak * 100, 6) AS drawdown_pct FROM (SELECT *, greatest(10000.0, max(equity) OVER (PARTITION BY symbol ORDER BY exit_time ROWS UNBOUNDED PRECEDING)) AS peak FROM t)")
 def equity_curve(spark, d):
     c = replay.equity_curve(replay.trades(signals(spark, d), KEYS, POLICY, replay.Costs()), 10_000.0, KEYS)
     return c.select("symbol", "exit_time", *(F.round(x, 6).alias(x) for x in ("equity", "peak", "drawdown_pct")))

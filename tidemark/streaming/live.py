@@ -17,55 +17,75 @@ def _kinds(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def throttled(rows: DataFrame, keys: tuple[str, ...], time: str, every_s: float) -> DataFrame:
+def _by_key(rows: DataFrame, keys: tuple[str, ...], time: str, schema: str, step: Callable, idle_s: float | None) -> DataFrame:
+    """step(what is held or None, a frame in event time) gives what is held next and the frame that goes on.
+
+    With idle_s a key's state goes once the watermark, which is that far behind the newest row, has passed its last
+    row by that much again; rows behind the watermark are dropped. Without it state stays for good."""
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        f = pd.concat(list(frames)).sort_values(time, kind="stable")
+        held, out = step(state.get[0] if state.exists else None, f)
+        if held is not None:
+            state.update((held,))
+            if idle_s is not None:
+                state.setTimeoutTimestamp(max(int(f["_ms"].max() + idle_s * 1000), state.getCurrentWatermarkMs() + 1))
+        yield out
+
+    timed = rows.withColumn("_ms", F.unix_millis(F.col(time).cast("timestamp")))
+    if idle_s is not None:
+        timed = timed.withWatermark(time, f"{int(idle_s * 1000)} milliseconds")
+    return timed.groupBy(*keys).applyInPandasWithState(run, schema, "held string", "append", "NoTimeout" if idle_s is None else "EventTimeTimeout")
+
+
+def throttled(rows: DataFrame, keys: tuple[str, ...], time: str, every_s: float, idle_s: float | None = None) -> DataFrame:
     """A row goes on only when so many seconds of event time have passed since the last that did."""
     names = rows.columns
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        f = pd.concat(list(frames)).sort_values(time, kind="stable")
+    def step(held: str | None, f: pd.DataFrame):
+        last = pd.Timestamp(held) if held else None
         kept = []
         for k, t in enumerate(f[time]):
             if last is None or (t - last).total_seconds() >= every_s:
                 kept.append(k)
                 last = t
-        state.update((str(last),))
-        yield f.iloc[kept][names]
+        return str(last), f.iloc[kept][names]
 
-    return rows.groupBy(*keys).applyInPandasWithState(step, _kinds(rows, *names), "last string", "append", "NoTimeout")
+    return _by_key(rows, keys, time, _kinds(rows, *names), step, idle_s)
 
 
-def merged(rows: DataFrame, keys: tuple[str, ...], time: str, fields: tuple[str, ...], kind: str = "kind") -> DataFrame:
+def merged(rows: DataFrame, keys: tuple[str, ...], time: str, fields: tuple[str, ...], kind: str = "kind", idle_s: float | None = None) -> DataFrame:
     """Snapshots and deltas as full rows: a snapshot sets all fields, a delta those that it has; a delta before
     any snapshot is dropped."""
     out = [*keys, time, *fields]
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else None
+    def step(text: str | None, f: pd.DataFrame):
+        held = json.loads(text) if text else None
         made = []
-        for r in pd.concat(list(frames)).sort_values(time, kind="stable").to_dict("records"):
+        for r in f.to_dict("records"):
             if r[kind] == "snapshot":
                 held = {f: None if pd.isna(r[f]) else r[f] for f in fields}
             elif held is not None:
                 held |= {f: r[f] for f in fields if not pd.isna(r[f])}
             if held is not None:
                 made.append({k: r[k] for k in (*keys, time)} | held)
-        if held is not None:
-            state.update((json.dumps(held),))
-        yield pd.DataFrame(made, columns=out)
+        return None if held is None else json.dumps(held), pd.DataFrame(made, columns=out)
 
-    return rows.groupBy(*keys).applyInPandasWithState(step, _kinds(rows, *out), "held string", "append", "NoTimeout")
+    return _by_key(rows, keys, time, _kinds(rows, *out), step, idle_s)
 
 
-def books(rows: DataFrame, keys: tuple[str, ...], time: str, depth: int = 20) -> DataFrame:
+def books(rows: DataFrame, keys: tuple[str, ...], time: str, depth: int = 20, idle_s: float | None = None) -> DataFrame:
     """Order books from snapshots and deltas, `bids` and `asks` as arrays of (price, qty): a snapshot replaces
     all levels, a quantity of 0 removes one, and a delta before a snapshot is dropped."""
     schema = f"{_kinds(rows, *keys, time)}, best_bid double, best_ask double, bid_volume double, ask_volume double"
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = [{float(p): q for p, q in side.items()} for side in json.loads(state.get[0])] if state.exists else None
+    def step(text: str | None, f: pd.DataFrame):
+        held = [{float(p): q for p, q in side.items()} for side in json.loads(text)] if text else None
         made = []
-        for r in pd.concat(list(frames)).sort_values(time, kind="stable").to_dict("records"):
+        for r in f.to_dict("records"):
             if r["kind"] == "snapshot":
                 held = [{}, {}]
             if held is None:
@@ -78,11 +98,9 @@ def books(rows: DataFrame, keys: tuple[str, ...], time: str, depth: int = 20) ->
                         side.pop(level["price"], None)
             bids, asks = sorted(held[0], reverse=True)[:depth], sorted(held[1])[:depth]
             made.append((*(r[k] for k in keys), r[time], bids[0] if bids else None, asks[0] if asks else None, sum(held[0][p] for p in bids), sum(held[1][p] for p in asks)))
-        if held is not None:
-            state.update((json.dumps(held),))
-        yield pd.DataFrame(made, columns=[*keys, time, "best_bid", "best_ask", "bid_volume", "ask_volume"])
+        return None if held is None else json.dumps(held), pd.DataFrame(made, columns=[*keys, time, "best_bid", "best_ask", "bid_volume", "ask_volume"])
 
-    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "held string", "append", "NoTimeout")
+    return _by_key(rows, keys, time, schema, step, idle_s)
 
 
 def confirmed(bars: DataFrame) -> DataFrame:
@@ -95,13 +113,19 @@ def deduplicated(rows: DataFrame, key: tuple[str, ...], time: str, late: str) ->
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(list(key))
 
 
-def routed(failed: Column, clean: Callable[[DataFrame], None], quarantine: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: rows without a failed check go to one place, the others to another."""
+def appended_once(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes a micro-batch to a folder of its own, so that a retried one replaces what it had written."""
+    return lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+
+def routed(failed: Column, clean: Callable[[DataFrame, int], None], quarantine: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: rows without a failed check go to one place, the others to another. Both are given the
+    batch's number, since a batch may come again after a failure."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.persist()
-        clean(batch.filter(F.size(failed) == 0))
-        quarantine(batch.filter(F.size(failed) > 0))
+        clean(batch.filter(F.size(failed) == 0), epoch)
+        quarantine(batch.filter(F.size(failed) > 0), epoch)
         batch.unpersist()
 
     return write
