@@ -360,10 +360,11 @@ t AS (SELECT s.symbol, entry_time, exit_time, reason, entry AS entry_price, exit
 """
 
 
-@query("replay_trades", _TRADES + "SELECT symbol, entry_time, exit_time, reason, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("entry_price", "exit_price", "qty", "gross_pnl", "fees", "net_pnl", "equity")) + " FROM t")
+@query("replay_trades", _TRADES + "SELECT symbol, entry_time, exit_time, reason, " + ", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in ("entry_price", "exit_price", "qty", "gross_pnl", "fees", "net_pnl", "equity")) + " FROM t")
 def replay_trades(spark, d):
     t = replay.trades(signals(spark, d), KEYS, POLICY, replay.Costs())
-    return t.select("symbol", "entry_time", "exit_time", "reason", *(F.round(c, 6).alias(c) for c in ("entry_price", "exit_price", "qty", "gross_pnl", "fees", "net_pnl", "equity")))
+    # prices of two decimals times rates end in a 5 often; what is added keeps them off the middle between two values
+    return t.select("symbol", "entry_time", "exit_time", "reason", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("entry_price", "exit_price", "qty", "gross_pnl", "fees", "net_pnl", "equity")))
 
 
 @query("equity_curve", _TRADES + "SELECT symbol, exit_time, round(equity, 6) AS equity, round(peak, 6) AS peak, round((peak - equity) / peak * 100, 6) AS drawdown_pct FROM (SELECT *, greatest(10000.0, max(equity) OVER (PARTITION BY symbol ORDER BY exit_time ROWS UNBOUNDED PRECEDING)) AS peak FROM t)")
