@@ -52,7 +52,7 @@ def signals(b: DataFrame, d: dict, feeds: dict[str, DataFrame]) -> DataFrame:
         frame = b if minutes == 1 else bars.resampled(b, minutes, strategy.KEYS)
         order = strategy.Window.partitionBy(*strategy.KEYS).orderBy("close_time")
         made = asof.asof(made, frame.select(*strategy.KEYS, c("close_time").alias("_t"), regimes.structural_extreme(side, stop["n"], order).alias("_extreme")), strategy.KEYS, "close_time", "_t", ("_extreme",))
-        distance = (c("close") - c("_extreme")) * (1 if side == "LONG" else -1)
+        distance = (c("close") - c("_extreme")) * (stop["mult"] if side == "LONG" else -stop["mult"])
     ok = c("regime").isin(*scope)
     made = made.withColumn("signal", strategy.condition(d["entry"], {k: p["value"] for k, p in d["params"].items()}) & F.coalesce(ok, F.lit(False))).withColumn("stop_distance", distance)
     made = made.withColumn("regime_ok", F.coalesce(ok, F.lit(False)) if d["exit"]["regime_invalidation"] else F.lit(True))
