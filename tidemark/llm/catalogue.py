@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, packing, quality, rules, simhash, substrings, topk, toxicity, warc
+from . import collocations, html, mixing, negatives, packing, quality, rules, simhash, substrings, topk, toxicity, warc
 from .common import table
 
 
@@ -51,6 +51,16 @@ def op10_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_score_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0).drop("positive")
+
+
+def op13_bucketed_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -91,6 +101,32 @@ SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payl
 FROM (SELECT *, octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id IS DISTINCT FROM keeper AND keeper IS NOT NULL AS refers FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages))
 """
 
+_OP11 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS q, a.vec_id AS anchor_id, c.r, c.vec_id, a.label = c.label AS alike, CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v AS a JOIN v AS c ON c.r <> a.r AND len(c.v) = len(a.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST) AS place FROM s WHERE alike) WHERE place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score, row_number() OVER (PARTITION BY p.q, p.place ORDER BY n.score DESC, n.vec_id NULLS LAST) AS rank
+  FROM p JOIN s AS n ON n.q = p.q AND NOT n.alike AND 80 * p.score::HUGEINT <= 100 * n.score::HUGEINT AND n.score <= p.score)
+WHERE rank <= 5
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+t AS (SELECT lang, unnest(w) AS a, unnest(list_concat(w[2:], [NULL])) AS b, unnest(list_concat(w[3:], [NULL, NULL])) AS c FROM w WHERE len(w) > 0),
+f AS MATERIALIZED (SELECT lang, 1 AS k, a AS phrase, count(*) AS f FROM t WHERE a IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, 2, a || ' ' || b, count(*) FROM t WHERE b IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c, count(*) FROM t WHERE b IS NOT NULL AND c IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+c AS (SELECT g.*, unnest(range(1, k)) AS cut FROM g),
+s AS (SELECT c.lang, c.k, c.phrase, c.a, l.f AS l, r.f AS r, CAST((1000000 * c.a::HUGEINT * c.a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score, row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000000 * c.a::HUGEINT * c.a) // (l.f::HUGEINT * r.f), c.cut) AS least
+  FROM c JOIN f AS l ON l.lang || chr(9) || l.phrase = c.lang || chr(9) || array_to_string(c.w[1:c.cut], ' ') JOIN f AS r ON r.lang || chr(9) || r.phrase = c.lang || chr(9) || array_to_string(c.w[c.cut + 1:], ' ')),
+o AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS most FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM g WHERE k = 3) GROUP BY ALL),
+x AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank FROM s LEFT JOIN o ON s.k = 2 AND o.lang = s.lang AND o.phrase = s.phrase WHERE least = 1 AND (o.most IS NULL OR 100 * o.most < 50 * s.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM x JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mtree_topk": _OP2, "op6_rule_ledger": _OP6, "op8_substring_dedup": _OP8, "op10_indexed_warc": _OP10}
+    return {"op2_mtree_topk": _OP2, "op6_rule_ledger": _OP6, "op8_substring_dedup": _OP8, "op10_indexed_warc": _OP10, "op11_score_sort_negatives": _OP11, "op13_bucketed_collocations": _OP13}
