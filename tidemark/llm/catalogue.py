@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, html, mixing, negatives, packing, quality, rules, simhash, substrings, topk, toxicity, warc
+from . import collocations, html, lblm, mixing, negatives, packing, quality, rules, simhash, substrings, topk, toxicity, warc
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op11_score_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0).drop("positive")
 
 
+def op12_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lblm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_bucketed_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 

@@ -1,20 +1,23 @@
 """Phrases of words that occur together more often than their parts let expect, for each language.
 
 Texts are cut at punctuation into pieces, and identical pieces of a language become one with a multiplicity, so that
-copies and repeated passages are counted once, with their weight. Distinct pieces are dealt to buckets by their hash.
-N-grams are counted in two steps: each task of pieces counts its own, weighted, and sends a row for each gram to that
-gram's bucket, where they are summed. Both steps run in duckdb inside the task, which reads its rows batch by batch
-into a table of limited memory and spills the rest to scratch that goes with the task, as Spark's own sorts do; so a
-bucket of any size can be counted. A gram has a row at most for each bucket of pieces, however often it occurs.
+copies and repeated passages are counted once, with their weight. Distinct pieces are dealt to buckets by their hash, and
+the words and phrases of each bucket, weighted, to buckets of their own, where they are summed. Each step runs in duckdb
+inside the task of a bucket, which puts its rows into tables of limited memory and spills the rest to scratch that goes with
+the task, as Spark's own sorts do. So a bucket is counted whatever its size, and a phrase has a row at most from each
+bucket of pieces, however often it occurs.
 
-A phrase can't be more frequent than its parts. So words and pairs are counted first, and longer grams only where both
-their shorter ones reach `LEAST`: a bucket's rows are also its requests, and those grams that reach `LEAST` are sent back
-to the buckets that asked. That leaves no phrase out. Candidates get the counts of their parts the same way: each bucket of
-candidates asks once for each distinct part, so a word that is in a third of all phrases is asked for once by each bucket.
+Between the steps rows travel in sorted, compressed cells, a cell for each bucket that a task has rows for. A task writes to
+at most `FAN` buckets, so that cells don't become tiny: beyond that, rows go to their bucket in several exchanges,
+each of which sums what it has and deals it `FAN` times finer.
+
+A phrase is scored by the counts of its parts, which are at least as frequent and so counted. Buckets of candidates ask for
+them by lookup requests: each asks once for each distinct part, requests are shuffled to the counts, and answers go back to
+the bucket. So a word that is in a third of all phrases is asked for once by each bucket.
 
 Defined cases: a null text has no piece; a null lang is `UNKNOWN`; pieces without a word don't count; extra columns are
 ignored; repeated rows and ties count as they are; a text is read whole, also if it is one long piece; an empty table
-gives no row.
+gives no row. Counts are exact, scores too up to counts of 10^16.
 """
 
 from __future__ import annotations
@@ -31,13 +34,14 @@ from .common import lean, union, written
 
 LONGEST, LEAST, INSIDE, FIRST = 3, 10, 50, 2000
 UNKNOWN = "und"
-#: Text bytes of a bucket, bytes of pieces that a task merges before it sends them, and duckdb's memory in a task.
-BUCKET, MERGED, MEMORY = 16 << 20, 16 << 20, "256MB"
+#: Text bytes of a bucket, buckets that a task writes to, bytes of text whose pieces are merged in memory, duckdb's memory.
+BUCKET, FAN, MERGED, MEMORY = 8 << 20, 256, 4 << 20, "256MB"
 #: Characters that end a piece: . , ; : ! ? and line feed to carriage return; A-Z become a-z.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(bytes(range(65, 91)) + ENDS, bytes(range(97, 123)) + b"\n" * len(ENDS))
-_GRAM = pa.schema([("n", pa.int32()), ("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64()), ("src", pa.int32())])
-GRAMS = "n int, lang string, gram string, f long, src int"
+_CELL = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64())])
+CELLS = "slot long, data binary"
+Batches = Iterator[pa.RecordBatch]
 
 
 def split_pieces(text: bytes) -> list[bytes]:
@@ -45,43 +49,15 @@ def split_pieces(text: bytes) -> list[bytes]:
     return [b" ".join(w) for piece in text.translate(_PLAIN).split(b"\n") if (w := piece.split())]
 
 
-def pieces(docs: DataFrame, buckets: int) -> DataFrame:
-    """Distinct pieces of each lang with their multiplicity `m` and bucket `src`."""
-
-    def sent(counts: dict[str, Counter]) -> pa.RecordBatch:
-        rows = [(lang, piece, m) for lang, c in counts.items() for piece, m in c.items()]
-        langs, texts, times = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.binary()), pa.array(times, pa.int64())], names=["lang", "piece", "m"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-        held = 0
-        for batch in lean(batches):
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py() or b""
-                counts.setdefault(lang, Counter()).update(split_pieces(text))
-                held += len(text)
-                if held >= MERGED:
-                    if any(counts.values()):
-                        yield sent(counts)
-                    counts, held = {}, 0
-        if any(counts.values()):
-            yield sent(counts)
-
-    made = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, "lang string, piece binary, m long")
-    # bytes are compared as they are; what is no UTF-8 becomes text once they are distinct
-    src = F.pmod(F.xxhash64("lang", "piece"), F.lit(buckets)).cast("int")
-    return written(made.withColumn("src", src).groupBy("src", "lang", "piece").agg(F.sum("m").alias("m")).withColumn("piece", F.col("piece").cast("string")), "pieces")
-
-
 class Counting:
-    """A duckdb of limited memory for one task; what it spills goes with it."""
+    """A duckdb of limited memory for one task, with a table `g` of lang, gram and f; what it spills goes with it."""
 
     def __init__(self, memory: str = MEMORY):
         import duckdb
 
         self.scratch = tempfile.TemporaryDirectory(prefix="grams-")
         self.con = duckdb.connect(config={"threads": "1", "memory_limit": memory, "temp_directory": self.scratch.name, "preserve_insertion_order": "false"})
+        self.con.execute("CREATE TABLE g (lang VARCHAR, gram VARCHAR, f BIGINT)")
 
     def __enter__(self):
         return self
@@ -90,83 +66,131 @@ class Counting:
         self.con.close()
         self.scratch.cleanup()
 
-    def put(self, table: str, batch: pa.RecordBatch | pa.Table) -> None:
-        rows = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
+    def put(self, rows: pa.Table) -> None:
         self.con.register("arrived", rows)
-        self.con.execute(f"INSERT INTO {table} SELECT * FROM arrived")
+        self.con.execute("INSERT INTO g SELECT * FROM arrived")
         self.con.unregister("arrived")
 
-    def read(self, sql: str) -> Iterator[pa.RecordBatch]:
-        for batch in self.con.execute(sql).to_arrow_reader(1 << 16):
-            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(batch.columns, _GRAM.types, strict=True)], schema=_GRAM)
+    def put_cells(self, batches: Batches) -> None:
+        for batch in batches:
+            for cell in batch.column("data"):
+                self.put(pa.ipc.open_stream(cell.as_buffer()).read_all())
+
+    def cells(self, rows: str, slots: int) -> Batches:
+        """The rows of a query, sorted and cut by the slot that their hash gives."""
+        held: list[pa.RecordBatch] = []
+        now = None
+        reader = self.con.execute(f"SELECT CAST(hash(lang, gram) % {slots} AS BIGINT) AS slot, lang, gram, f FROM ({rows}) ORDER BY slot, lang, gram").to_arrow_reader(1 << 16)
+        for batch in reader:
+            slot, at = batch.column("slot").to_numpy(), 0
+            batch = pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(batch.columns[1:], _CELL.types, strict=True)], schema=_CELL)
+            while at < len(slot):
+                if slot[at] != now:
+                    if held:
+                        yield _cell(now, held)
+                    now, held = int(slot[at]), []
+                end = int(slot.searchsorted(now, "right"))
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield _cell(now, held)
+
+
+def _cell(slot: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _CELL, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slot", "data"])
+
+
+SUMS = "SELECT lang, gram, CAST(sum(f) AS BIGINT) AS f FROM g GROUP BY lang, gram"
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words and pairs of a task's pieces, weighted."""
-    with Counting() as db:
-        db.con.execute("CREATE TABLE p (src INTEGER, lang VARCHAR, w VARCHAR[], m BIGINT)")
-        for batch in lean(batches):
-            db.con.register("arrived", pa.Table.from_batches([batch]))
-            db.con.execute("INSERT INTO p SELECT src, lang, string_split(piece, ' '), m FROM arrived")
-            db.con.unregister("arrived")
-        # lists that are unnested side by side: linear in a piece's words
-        yield from db.read("SELECT 1, lang, w, CAST(sum(m) AS BIGINT), src FROM (SELECT src, lang, m, unnest(w) AS w FROM p) GROUP BY src, lang, w")
-        yield from db.read("SELECT 2, lang, a || ' ' || b, CAST(sum(m) AS BIGINT), src FROM (SELECT src, lang, m, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM p) GROUP BY src, lang, a, b")
+def slots_of(buckets: int, fan: int = FAN) -> list[int]:
+    """The slots of each exchange; the last has `buckets` or some more."""
+    out = [1]
+    while out[-1] < buckets:
+        out.append(out[-1] * min(fan, -(-buckets // out[-1])))
+    return out[1:] or [1]
 
 
-def _summed(least: int, back: int) -> callable:
-    """The grams of a bucket that reach `least`; those of `back` words once more for each bucket that asked."""
+def gathered(cells: DataFrame, slots: list[int]) -> DataFrame:
+    """The cells of each bucket in a partition of its own; `cells` have the first of the slots."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finer(to: int) -> callable:
+        def run(batches: Batches) -> Batches:
+            with Counting() as db:
+                db.put_cells(lean(batches))
+                yield from db.cells(SUMS, to)
+
+        return run
+
+    for now, to in zip(slots, slots[1:], strict=False):
+        # a slot's cells in as many tasks as it gets finer ones
+        part = F.col("slot") + now * F.pmod(F.crc32("data"), F.lit(to // now))
+        cells = cells.repartitionById(to, part.cast("int")).mapInArrow(finer(to), CELLS)
+    return cells.repartitionById(slots[-1], F.col("slot").cast("int"))
+
+
+def pieces(docs: DataFrame, slots: int) -> DataFrame:
+    """Cells of the distinct pieces of each task with their multiplicities."""
+
+    def cut(batches: Batches) -> Batches:
         with Counting() as db:
-            db.con.execute("CREATE TABLE g (n INTEGER, lang VARCHAR, gram VARCHAR, f BIGINT, src INTEGER)")
+
+            def put(counts: dict[str, Counter]) -> None:
+                for lang, c in counts.items():
+                    if c:
+                        db.put(pa.table([pa.array([lang], pa.string()).take(pa.array([0] * len(c))), pa.array(c.keys(), pa.binary()).cast(pa.string()), pa.array(c.values(), pa.int64())], schema=_CELL))
+
+            counts: dict[str, Counter] = {}
+            held = 0
             for batch in lean(batches):
-                db.put("g", batch)
-            db.con.execute(f"CREATE TABLE s AS SELECT n, lang, gram, CAST(sum(f) AS BIGINT) AS f FROM g GROUP BY n, lang, gram HAVING sum(f) >= {least}")
-            yield from db.read("SELECT n, lang, gram, f, NULL FROM s")
-            yield from db.read(f"SELECT g.n, g.lang, g.gram, s.f, g.src FROM g JOIN s ON g.n = s.n AND g.lang = s.lang AND g.gram = s.gram WHERE g.n = {back}")
-
-    return run
-
-
-def _longer(n: int) -> callable:
-    """The grams of n words of a bucket's pieces, both of whose shorter ones were sent back to it."""
-
-    def run(left, right):
-        if not left.num_rows or not right.num_rows:
-            return _GRAM.empty_table()
-        known: dict[str, set] = {}
-        for lang, gram in zip(right.column("lang").to_pylist(), right.column("gram").to_pylist(), strict=True):
-            known.setdefault(lang, set()).add(gram)
-        none: set = set()
-        langs, grams, times = [], [], []
-        for lang, piece, m in zip(left.column("lang").to_pylist(), left.column("piece"), left.column("m").to_pylist(), strict=True):
-            w, some = piece.as_py().split(" "), known.get(lang, none)
-            held = [" ".join(x) in some for x in zip(*(w[i:] for i in range(n - 1)), strict=False)]
-            here = [" ".join(w[i : i + n]) for i in range(len(held) - 1) if held[i] and held[i + 1]]
-            grams += here
-            langs += [lang] * len(here)
-            times += [m] * len(here)
+                for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                    text = text.as_py() or b""
+                    counts.setdefault(lang, Counter()).update(split_pieces(text))
+                    held += len(text)
+                    if held >= MERGED:
+                        put(counts)
+                        counts, held = {}, 0
+            put(counts)
+            yield from db.cells(SUMS, slots)
+
+    return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, CELLS)
+
+
+def grams(found: DataFrame, longest: int, slots: int) -> DataFrame:
+    """Cells of the words and phrases of each bucket of pieces, weighted; the empty gram has the number of words."""
+    names = [f"w{i}" for i in range(longest)]
+    side = ", ".join(f"unnest(w[{i + 1}:]) AS {name}" for i, name in enumerate(names))
+    parts = [f"SELECT lang, {" || ' ' || ".join(names[: n + 1])} AS gram, CAST(sum(m) AS BIGINT) AS f FROM t WHERE {names[n]} IS NOT NULL GROUP BY lang, {', '.join(names[: n + 1])}" for n in range(longest)]
+    parts.append("SELECT lang, '' AS gram, CAST(sum(m) AS BIGINT) AS f FROM t GROUP BY lang")
+
+    def run(batches: Batches) -> Batches:
         with Counting() as db:
-            db.con.execute("CREATE TABLE t (lang VARCHAR, gram VARCHAR, m BIGINT)")
-            db.put("t", pa.table([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(times, pa.int64())], names=["lang", "gram", "m"]))
-            src = left.column("src")[0].as_py()
-            return pa.Table.from_batches(list(db.read(f"SELECT {n}, lang, gram, CAST(sum(m) AS BIGINT), {src} FROM t GROUP BY lang, gram")), _GRAM)
+            db.put_cells(lean(batches))
+            # lists that are unnested side by side: linear in a piece's words
+            db.con.execute(f"CREATE TABLE t AS SELECT lang, m, {side} FROM (SELECT lang, string_split(gram, ' ') AS w, CAST(sum(f) AS BIGINT) AS m FROM g GROUP BY lang, gram)")
+            db.con.execute("DROP TABLE g")
+            yield from db.cells(" UNION ALL ".join(parts), slots)
+
+    return found.mapInArrow(run, CELLS)
 
-    return run
 
+def gram_counts(docs: DataFrame, longest: int, least: int, buckets: int, fan: int = FAN) -> DataFrame:
+    """n, lang, gram and f of every gram of up to `longest` words that occurs `least` times; n = 0 has each lang's words."""
+    slots = slots_of(buckets, fan)
+    sent = grams(gathered(pieces(docs, slots[0]), slots), longest, slots[0])
+
+    def run(batches: Batches) -> Batches:
+        with Counting() as db:
+            db.put_cells(lean(batches))
+            sums = db.con.execute(f"SELECT CASE WHEN gram = '' THEN 0 ELSE len(string_split(gram, ' ')) END, lang, gram, f FROM ({SUMS}) WHERE f >= {least} OR gram = ''")
+            for batch in sums.to_arrow_reader(1 << 16):
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), *(c.cast(t) for c, t in zip(batch.columns[1:], _CELL.types, strict=True))], names=["n", *_CELL.names])
 
-def gram_counts(found: DataFrame, longest: int, least: int, buckets: int) -> DataFrame:
-    """n, lang, gram and f of every gram of up to `longest` words that occurs `least` times; found: `pieces`."""
-    sent = found.select("src", "lang", "piece", "m").mapInArrow(_within, GRAMS)
-    out = []
-    for n in range(2, longest + 1):
-        back = n if n < longest else 0
-        level = written(sent.repartition(buckets, "lang", "gram").mapInArrow(_summed(least, back), GRAMS), f"grams-{n}")
-        out.append(level.filter("src IS NULL").select("n", "lang", "gram", "f"))
-        if back:
-            sent = found.groupBy("src").cogroup(level.filter(f"src IS NOT NULL AND n = {n}").groupBy("src")).applyInArrow(_longer(n + 1), GRAMS)
-    return union(out)
+    return written(gathered(sent, slots).mapInArrow(run, "n int, lang string, gram string, f long"), "gram-counts")
 
 
 def _words(gram: Column) -> Column:
@@ -204,14 +228,13 @@ def outermost(candidates: DataFrame, longest: int, inside: int) -> DataFrame:
     return met.filter(F.col("_most").isNull() | (100 * F.col("_most") < inside * F.col("a"))).drop("_most")
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, inside: int = INSIDE, first: int = FIRST, bucket: int = BUCKET) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, inside: int = INSIDE, first: int = FIRST, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score: each lang's `first` best phrases."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket))
-    found = pieces(docs, buckets)
-    words = F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1
-    totals = written(found.groupBy("lang").agg(F.sum(F.col("m") * words).alias("total")), "words-of-lang")
-    candidates = written(scored(gram_counts(found, longest, least, buckets), buckets), "candidates")
+    counts = gram_counts(docs, longest, least, buckets, fan)
+    totals = counts.filter("n = 0").select("lang", F.col("f").alias("total"))
+    candidates = written(scored(counts, buckets), "candidates")
     # each bucket's best, and of these each lang's
     ranked = outermost(candidates, longest, inside).withColumn("_b", F.pmod(F.xxhash64("lang", "gram"), F.lit(buckets)))
     for keys in (["lang", "_b"], ["lang"]):
