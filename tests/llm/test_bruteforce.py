@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -346,6 +347,62 @@ def test_chain_marginals():
                 want_pairs[y[k], y[k + 1]] += p
         at += n
     assert np.allclose(got, want) and np.allclose(pairs, want_pairs)
+    for most in (0, 2):  # all alone, and only the longer ones
+        got, pairs = quality.marginals(gain, move, quality.Chains(lengths, most))
+        assert np.allclose(got, want) and np.allclose(pairs, want_pairs)
+
+
+def plain_quality(field, text):
+    """A document's score line by line, from the field's weights."""
+    own, sizes = quality.line_features(text)
+    zero = np.zeros(own.shape[1])
+    gain = [float(np.concatenate([own[k], own[k - 1] if k else zero, own[k + 1] if k + 1 < len(own) else zero]) @ field.weights) for k in range(len(own))]
+    ahead = [np.array([1.0, np.exp(gain[0])])]
+    for g in gain[1:]:
+        f = (ahead[-1] / ahead[-1].sum()) @ np.exp(field.move) * np.array([1.0, np.exp(g)])
+        ahead.append(f)
+    behind = [np.ones(2)]
+    for g in gain[:0:-1]:
+        b = np.exp(field.move) @ (np.array([1.0, np.exp(g)]) * behind[-1])
+        behind.append(b / b.sum())
+    good = [(a * b)[1] / (a * b).sum() for a, b in zip(ahead, reversed(behind), strict=True)]
+    return float(np.average(good, weights=sizes))
+
+
+def test_quality_scores_equal_a_plain_chain(spark):
+    r = np.random.default_rng(9)
+    line = lambda: " ".join(r.choice(["the", "Word", "$$", "12", "spam", "spam", "é"], r.integers(0, 9)))
+    texts = [(i, "\n".join(line() for _ in range(int(r.integers(0, 12))))) for i in range(60)] + [(60, "\n".join(line() for _ in range(6000))), (61, None)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    field = quality.trained(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, labels).collect()}
+    assert all(abs(got[i] - plain_quality(field, t)) < 1e-5 for i, t in texts)
+
+
+def test_a_document_of_many_lines_is_quick():
+    began = time.time()
+    quality.Field(np.full(3 * quality.N_OWN, 0.1), np.array([[0.5, -0.5], [-0.2, 0.3]])).scores(["a b c\n" * 300_000, "x"])
+    assert time.time() - began < 20
+
+
+def test_long_white_space_is_packed(spark):
+    """Runs that tiktoken's pattern can't hold; ids are those of tokenizers."""
+    from tokenizers import Tokenizer
+
+    texts = ["x" + " " * 5_000_000 + "y", "\n" * 1_000_000, "a" + " \n\t\r" * 500_000 + "b", " " * 999 + "x", " " * 1000]
+    got = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sizes = {r["doc_id"]: (r["n"], r["d"]) for r in got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()}
+    plain = Tokenizer.from_file(packing.vocabulary()[0])
+    for i, t in enumerate(texts):
+        n = len(plain.encode(t, add_special_tokens=False).ids) + 1
+        assert sizes[i] == (n, n)
+
+
+def test_ids_of_a_whole_corpus_are_those_of_tokenizers(spark):
+    files = packing.vocabulary()
+    plain, special = packing._plain(files[0]), packing.special_tokens(files[0])
+    for (text,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert packing.token_ids(text, files, special).tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 SF = "/root/testdata/sf0.1"

@@ -29,6 +29,8 @@ from .sampling import held_out, labelled
 SAMPLE = 6000
 THRESHOLD = 0.7
 STEPS, RATE, DECAY = 120, 0.1, 1e-3
+#: Lines beyond which a document goes through its steps alone.
+LONG = 4096
 
 _CLASS = np.zeros((256, 5), np.float32)
 for _k, _bytes in enumerate((b"#*$%&|<>", b"!", bytes(range(65, 91)), b"0123456789", bytes(set(range(33, 127)) - set(b"#*$%&|<>!.,0123456789") - set(range(65, 91)) - set(range(97, 123))))):
@@ -62,14 +64,16 @@ def with_neighbours(own: np.ndarray) -> np.ndarray:
 
 
 class Chains:
-    """Documents of different lengths, longest first, so that at each step those that go on are the first ones."""
-
-    def __init__(self, lengths: np.ndarray):
-        self.order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[self.order]
+    """Documents of different lengths, longest first, so that at each step those that go on are the first ones. Those of
+    more than `LONG` lines, which would soon go on alone, are `long`: their first lines and lengths."""
+
+    def __init__(self, lengths: np.ndarray, most: int = LONG):
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int)
+        self.long = [(int(starts[k]), int(lengths[k])) for k in np.flatnonzero(lengths > most)]
+        self.order = np.argsort(-lengths, kind="stable")[len(self.long) :]
+        lengths, self.starts = lengths[self.order], starts[self.order]
         self.steps = int(lengths.max(initial=0))
         self.alive = np.searchsorted(-lengths, -np.arange(self.steps), side="left")
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.order, weights=lengths, minlength=len(lengths)))[:-1]]).astype(int)[self.order]
 
     def rows(self, t: int) -> np.ndarray:
         return self.starts[: self.alive[t]] + t
@@ -79,6 +83,24 @@ def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logaddexp(a, b)
 
 
+def long_marginals(gain: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`marginals` of one chain, by the log odds of good over bad, a number at each step."""
+    (bb, bg), (gb, gg) = np.exp(move - move.max()).tolist()
+    exp, log, plain = math.exp, math.log, np.clip(gain, -300, 300).tolist()
+    forward, backward = [plain[0]], [0.0]
+    for g in plain[1:]:
+        odds = exp(forward[-1])
+        forward.append(g + log((bg + odds * gg) / (bb + odds * gb)))
+    for g in reversed(plain[1:]):
+        odds = exp(backward[-1] + g)
+        backward.append(log((gb + odds * gg) / (bb + odds * bg)))
+    ahead, behind = np.array(forward), np.array(backward[::-1])
+    last, now = ahead[:-1], np.array(plain[1:]) + behind[1:]
+    logs = np.stack([move[i, j] + i * last + j * now for i in (0, 1) for j in (0, 1)])
+    logs = np.exp(logs - logs.max(axis=0))
+    return 1 / (1 + np.exp(-(ahead + behind))), (logs / logs.sum(axis=0)).sum(axis=1).reshape(2, 2)
+
+
 def marginals(gain: np.ndarray, move: np.ndarray, chains: Chains) -> tuple[np.ndarray, np.ndarray]:
     """The probability that each line is good, and the sums over all steps of those of each pair of labels.
 
@@ -104,7 +126,11 @@ def marginals(gain: np.ndarray, move: np.ndarray, chains: Chains) -> tuple[np.nd
         for i in (0, 1):
             for j in (0, 1):
                 pairs[i, j] += np.exp(forward[now - 1, i] + move[i, j] + j * gain[now] + backward[now, j] - whole[now]).sum()
-    return np.exp(both[:, 1] - whole), pairs
+    probable = np.exp(both[:, 1] - whole)
+    for start, n in chains.long:
+        probable[start : start + n], own = long_marginals(gain[start : start + n], move)
+        pairs += own
+    return probable, pairs
 
 
 class Field:
