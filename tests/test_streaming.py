@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import records
-from tidemark.streaming import live
+from tidemark.streaming import live, state
 
 T0 = datetime(2025, 1, 1)
 
@@ -48,7 +48,7 @@ def test_books(spark, tmp_path):
     level = lambda *x: [{"price": p, "qty": q} for p, q in x]
     rows = [("s", T0, "delta", level((1.0, 1.0)), []), ("s", T0 + timedelta(seconds=1), "snapshot", level((10.0, 1.0), (9.0, 2.0)), level((11.0, 3.0))), ("s", T0 + timedelta(seconds=2), "delta", level((10.0, 0.0)), level((10.5, 1.0)))]
     schema = "k string, t timestamp, kind string, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>"
-    got = run(spark, rows, schema, lambda s: live.books(s, ("k",), "t"), tmp_path, "books")
+    got = run(spark, rows, schema, lambda s: state.books(s, ("k",), "t"), tmp_path, "books")
     assert [x[2:] for x in sorted(got, key=lambda x: x[1])] == [(10.0, 11.0, 3.0, 3.0), (9.0, 10.5, 2.0, 4.0)]
 
 

@@ -1,4 +1,4 @@
-"""Streaming semantics: throttling, delta merges, order books, deduplication and the routed sink.
+"""Streaming semantics: throttling, delta merges, deduplication and the routed sink; books are in `state`.
 
 State is held for each key, and a reconnect's epoch belongs to the key, so that a new connection starts from nothing.
 Within a micro-batch rows are taken in event time, so that a replay gives what the live run gave."""
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .state import IDLE_S
+
 
 def _kinds(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
@@ -20,8 +22,8 @@ def _kinds(df: DataFrame, *names: str) -> str:
 def _by_key(rows: DataFrame, keys: tuple[str, ...], time: str, schema: str, step: Callable, idle_s: float | None) -> DataFrame:
     """step(what is held or None, a frame in event time) gives what is held next and the frame that goes on.
 
-    With idle_s a key's state goes once the watermark, which is that far behind the newest row, has passed its last
-    row by that much again; rows behind the watermark are dropped. Without it state stays for good."""
+    A key's state goes once the watermark, which is idle_s behind the newest row, has passed its last row by that much
+    again; rows behind the watermark are dropped. With idle_s None state stays for good."""
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,7 +43,7 @@ def _by_key(rows: DataFrame, keys: tuple[str, ...], time: str, schema: str, step
     return timed.groupBy(*keys).applyInPandasWithState(run, schema, "held string", "append", "NoTimeout" if idle_s is None else "EventTimeTimeout")
 
 
-def throttled(rows: DataFrame, keys: tuple[str, ...], time: str, every_s: float, idle_s: float | None = None) -> DataFrame:
+def throttled(rows: DataFrame, keys: tuple[str, ...], time: str, every_s: float, idle_s: float | None = IDLE_S) -> DataFrame:
     """A row goes on only when so many seconds of event time have passed since the last that did."""
     names = rows.columns
 
@@ -57,7 +59,7 @@ def throttled(rows: DataFrame, keys: tuple[str, ...], time: str, every_s: float,
     return _by_key(rows, keys, time, _kinds(rows, *names), step, idle_s)
 
 
-def merged(rows: DataFrame, keys: tuple[str, ...], time: str, fields: tuple[str, ...], kind: str = "kind", idle_s: float | None = None) -> DataFrame:
+def merged(rows: DataFrame, keys: tuple[str, ...], time: str, fields: tuple[str, ...], kind: str = "kind", idle_s: float | None = IDLE_S) -> DataFrame:
     """Snapshots and deltas as full rows: a snapshot sets all fields, a delta those that it has; a delta before
     any snapshot is dropped."""
     out = [*keys, time, *fields]
@@ -77,32 +79,6 @@ def merged(rows: DataFrame, keys: tuple[str, ...], time: str, fields: tuple[str,
     return _by_key(rows, keys, time, _kinds(rows, *out), step, idle_s)
 
 
-def books(rows: DataFrame, keys: tuple[str, ...], time: str, depth: int = 20, idle_s: float | None = None) -> DataFrame:
-    """Order books from snapshots and deltas, `bids` and `asks` as arrays of (price, qty): a snapshot replaces
-    all levels, a quantity of 0 removes one, and a delta before a snapshot is dropped."""
-    schema = f"{_kinds(rows, *keys, time)}, best_bid double, best_ask double, bid_volume double, ask_volume double"
-
-    def step(text: str | None, f: pd.DataFrame):
-        held = [{float(p): q for p, q in side.items()} for side in json.loads(text)] if text else None
-        made = []
-        for r in f.to_dict("records"):
-            if r["kind"] == "snapshot":
-                held = [{}, {}]
-            if held is None:
-                continue
-            for side, levels in zip(held, (r["bids"], r["asks"]), strict=True):
-                for level in levels if levels is not None else []:
-                    if level["qty"]:
-                        side[level["price"]] = level["qty"]
-                    else:
-                        side.pop(level["price"], None)
-            bids, asks = sorted(held[0], reverse=True)[:depth], sorted(held[1])[:depth]
-            made.append((*(r[k] for k in keys), r[time], bids[0] if bids else None, asks[0] if asks else None, sum(held[0][p] for p in bids), sum(held[1][p] for p in asks)))
-        return None if held is None else json.dumps(held), pd.DataFrame(made, columns=[*keys, time, "best_bid", "best_ask", "bid_volume", "ask_volume"])
-
-    return _by_key(rows, keys, time, schema, step, idle_s)
-
-
 def confirmed(bars: DataFrame) -> DataFrame:
     """Bars that are final; those in progress go."""
     return bars.filter(F.coalesce("confirm", F.lit(False)))
