@@ -119,3 +119,21 @@ def depth(bids: Column, asks: Column, levels: int = 20) -> tuple[Column, Column,
     volume = lambda side: F.aggregate(F.slice(side, 1, levels), F.lit(0.0), lambda a, x: a + x["qty"])
     b, a = volume(bids), volume(asks)
     return b, a, F.when(a + b > 0, (b - a) / (b + a)).otherwise(0.0)
+
+
+def bar_outcome(enabled: Column, halted: Column, in_window: Column, signals: Column, arbiter: Column, refused: Column, verdict: Column) -> Column:
+    """What became of a bar's close, by the first stage that it didn't pass, in the fixed order of the stages: status, reason
+    and stage. halted: why trading is halted, or null; arbiter: `ok` or its reason; refused: `refusals`; verdict: APPROVE or
+    its reason. The names are fixed values."""
+    out = lambda status, reason, stage: F.struct(F.lit(status).alias("status"), reason.alias("reason"), F.lit(stage).alias("stage"))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(~sure(enabled), out("DISABLED", F.lit("trade_loop_disabled"), "preconditions"))
+        .when(halted.isNotNull(), out("SKIPPED", F.concat(F.lit("risk_halted:"), halted), "preconditions"))
+        .when(~sure(in_window), out("SKIPPED", F.lit("outside_window"), "preconditions"))
+        .when(~sure(signals > 0), out("SKIPPED", F.lit("no_signals"), "signals"))
+        .when(~sure(arbiter == "ok"), out("SKIPPED", F.concat(F.lit("arbiter:"), F.coalesce(arbiter, F.lit("none"))), "arbiter"))
+        .when(F.size(F.coalesce(refused, F.array())) > 0, out("BLOCKED", F.get(refused, F.lit(0)), "risk_pre"))
+        .when(~sure(verdict == "APPROVE"), out("BLOCKED", F.concat(F.lit("scrutiny:"), F.coalesce(verdict, F.lit("none"))), "scrutiny"))
+        .otherwise(out("PASSED", F.lit("ok"), "execution"))
+    )
