@@ -147,7 +147,25 @@ def test_learning_raises_the_probability_of_what_follows():
 def test_bounded_vocabulary_and_shares(spark):
     docs = spark.createDataFrame([(1, "aa bb aa cc xyz wxyz"), (3, "aa bb dd")], "doc_id long, text string")
     v = lblm.vocabulary(lblm.word_counts(docs).cache(), head=2, tails=1, known=3)
-    assert (v.total, v.distinct, v.units) == (11, 7, 5) and len(v.rank) == 4
+    assert (v.total, v.distinct, v.units) == (11, 7, 5) and len(v.rank) == 3
     # the rest: cc, dd, wxyz and xyz, the last two of one ending
     assert v.unit_of(b"zzxyz") == 3 and v.unit_of(b"cc") == 4
     assert np.allclose(10 ** v.share[3:], [2 + 2 + 1, 2 + 2 + 1])
+
+
+def test_most_frequent_is_bounded(spark):
+    counts = spark.createDataFrame([(f"w{i}", c) for i, c in enumerate([100, 50, 50, 7, 7, 7, 1, 1])], "word string, c long")
+    got = lambda most: sorted((r["c"] for r in lblm.most_frequent(counts, "c", most)), reverse=True)
+    assert [got(n) for n in (0, 1, 2, 3, 5, 6, 8, 99)] == [[], [100], [100], [100, 50, 50], [100, 50, 50], [100, 50, 50, 7, 7, 7], [100, 50, 50, 7, 7, 7, 1, 1], [100, 50, 50, 7, 7, 7, 1, 1]]
+
+
+def test_noise_is_drawn_by_its_share():
+    r = np.random.default_rng(8)
+    shares = r.random((3, 7)) * (r.random((3, 7)) > 0.2)
+    shares /= shares.sum(axis=1, keepdims=True)
+    keep, other = lblm._alias(shares)
+    got = np.zeros(21)
+    for place in range(21):
+        got[place] += keep[place] / 7
+        got[other[place]] += (1 - keep[place]) / 7
+    assert np.allclose(got.reshape(3, 7), shares, atol=1e-6)

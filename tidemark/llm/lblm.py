@@ -2,18 +2,20 @@
 
 Counts of all words of the training documents are a Spark aggregation over the whole corpus and grow with it. The model
 predicts units: the `HEAD` most frequent words have one each, the end of a text too, and all other words, seen or not,
-share one for each of the `TAILS` most frequent endings of `ENDING` bytes, or the last one. A word's probability is that of
+share one for each of about `TAILS` most frequent endings of `ENDING` bytes, or the last one. A word's probability is that of
 its unit after the `ORDER` units before it, times, within a shared unit, its share of the words seen there, plus one:
 (c+1) / (N_u + V_u + 1). So the words of a unit and one unseen one have a sum of 1, whatever the size of the vocabulary.
 
-The context vector is the sum of the vectors of the previous units, each weighted by its distance component by component;
-the score of a unit is its product with the unit's output vector plus a bias. Weights are learnt by noise-contrastive
-estimation: a batch's true units are told from noise units drawn by their frequency, which a batch shares, so that all
-products are products of matrices. Every training document is learnt from once: in each of `ROUNDS` rounds each task
-goes through its documents of that round from the shared weights, and the weights of all tasks are averaged, by the
-number of their tokens, in a Spark aggregation. For scores the products with all units are normalised exactly.
+The context vector is the sum of the vectors of the previous units, each weighted by its distance component by component.
+Units are dealt to about as many classes as a class has units, and both the class and the unit within it are predicted
+log-bilinearly: the score is the context's product with an output vector plus a bias. So a probability is exactly normalised
+over all units by two small products, batched as matrices, instead of one over the whole vocabulary. Weights are learnt
+by noise-contrastive estimation: true classes are told from noise classes and true units from noise units of their class,
+both drawn by frequency. Every training document is learnt from once: in each of `ROUNDS` rounds each task goes through its
+documents of that round from the shared weights, and the weights of all tasks are averaged, by the number of their tokens,
+in a Spark aggregation.
 
-The counts of the `KNOWN` most frequent words go along with the model, whose size is bounded by these parameters. Any other word
+The counts of at most `KNOWN` of the most frequent words go along with the model, whose size is bounded by these parameters. Any other word
 meets its count in a join: a text's distinct rare words with their multiplicities go to the counts and only what
 they add comes back, so no task and not the driver holds the vocabulary.
 
@@ -28,6 +30,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +42,12 @@ from pyspark.sql import functions as F
 from .common import lean, written
 
 #: Words with a unit of their own, endings with a shared one, bytes of an ending, words whose counts go with the model.
-HEAD, TAILS, ENDING, KNOWN = 768, 255, 3, 65536
-#: Units of context, components of a vector, noise units and positions of a batch, rounds, and the descent's rate.
-ORDER, DIM, NOISE, BATCH, ROUNDS, RATE = 4, 16, 96, 512, 4, 0.15
+HEAD, TAILS, ENDING, KNOWN = 1279, 255, 3, 65536
+#: Units of context, components of a vector, noise classes of a batch, noise units of a position, positions of a batch, rounds,
+#: and the descent's rate.
+ORDER, DIM, CLASSES, NOISE, BATCH, ROUNDS, RATE = 3, 16, 64, 2, 4096, 4, 0.15
 #: Distinct words that a task counts before it sends them; positions that are learnt from or scored at once.
-DISTINCT, POSITIONS, ROWS = 1 << 18, 1 << 16, 2048
+DISTINCT, POSITIONS, ROWS = 1 << 18, 1 << 16, 1 << 15
 END = b""  # no word is empty
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -103,8 +107,7 @@ class Vocabulary:
         """Units of the text's words and end; known tokens among those with a rank, the sum of their log10(c+1), the part
         of it in shared units; and the other words."""
         w = [*words(text), END]
-        get = self.rank.get
-        ranks = np.array([get(x, -1) for x in w], np.int64)
+        ranks = np.fromiter(map(self.rank.get, w, repeat(-1)), np.int64, len(w))
         units, seen = self.unit[ranks].astype(np.uint16), ranks >= 0
         rare = np.flatnonzero(~seen).tolist()
         units[rare] = [self.unit_of(w[i]) for i in rare]
@@ -112,32 +115,44 @@ class Vocabulary:
         return units, int((logs > 0).sum()), float(logs.sum()), float(logs[self.shared[units[seen]]].sum()), Counter(w[i] for i in rare)
 
 
+def most_frequent(counts: DataFrame, c: str, most: int) -> list:
+    """At most `most` rows, those of the highest counts: all above a threshold on a grid of a 16th of an octave, which comes
+    from a histogram, so that no more than these go to the driver. Highest first."""
+    step = F.floor(16 * F.log2(F.col(c).cast("double")))
+    steps = sorted(((r["s"], r["n"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    low, held = None, 0
+    for at, n in steps:
+        held += n
+        if held > most:
+            break
+        low = at
+    return [] if low is None else counts.filter(step >= low).collect()
+
+
 def vocabulary(counts: DataFrame, head: int = HEAD, tails: int = TAILS, known: int = KNOWN) -> Vocabulary:
     """From written counts; what comes to the driver is bounded by the parameters."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    first = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(known).collect()
+    named = counts.filter(F.col("word") != F.lit(END))
+    first = sorted(((bytes(r["word"]), r["c"]) for r in most_frequent(named, "c", known)), key=lambda x: (-x[1], x[0]))
     ends = counts.filter(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
-    own = [END] + [bytes(r["word"]) for r in first[:head]]
-    own_counts = [ends] + [r["c"] for r in first[:head]]
+    own = [END] + [w for w, _ in first[:head]]
+    own_counts = [ends] + [c for _, c in first[:head]]
     # words after the last of the head, in the same order
-    rest = counts.filter(F.col("word") != F.lit(END))
-    if len(first) >= head > 0:
-        last = first[head - 1]
-        rest = rest.filter((F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > F.lit(bytes(last["word"])))))
-    else:
-        rest = rest.filter("false")
+    rest = named
+    if len(own) > 1:
+        rest = rest.filter((F.col("c") < own_counts[-1]) | ((F.col("c") == own_counts[-1]) & (F.col("word") > F.lit(own[-1]))))
     # a suffix of bytes: a negative start beyond a word's length begins before it
     suffix = F.when(F.octet_length("word") <= ENDING, F.col("word")).otherwise(F.substring("word", -ENDING, ENDING))
     by = rest.groupBy(suffix.alias("e")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    top = by.orderBy(F.desc("n"), "e").limit(tails).collect()
+    top = sorted(most_frequent(by, "n", tails), key=lambda r: (-r["n"], bytes(r["e"])))
     n_rest, v_rest = rest.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     sizes = [(r["n"], r["v"]) for r in top]
     sizes.append((n_rest - sum(n for n, _ in sizes), v_rest - sum(v for _, v in sizes)))
     units = len(own) + len(sizes)
     ending = {bytes(r["e"]): len(own) + i for i, r in enumerate(top)}
-    rank = {w: i for i, w in enumerate(own)} | {bytes(r["word"]): len(own) + i for i, r in enumerate(first[head:])}
-    unit = np.array([*range(len(own)), *(ending.get(bytes(r["word"])[-ENDING:], units - 1) for r in first[head:])])
-    count = np.array([*own_counts, *(r["c"] for r in first[head:])], np.int64)
+    rank = {w: i for i, w in enumerate([*own, *(w for w, _ in first[head:])])}
+    unit = np.array([*range(len(own)), *(ending.get(w[-ENDING:], units - 1) for w, _ in first[head:])])
+    count = np.array([*own_counts, *(c for _, c in first[head:])], np.int64)
     share = np.array([0.0] * len(own) + [math.log10(n + v + 1) or 1e-300 for n, v in sizes])
     frequency = np.array([*own_counts, *(n for n, _ in sizes)], float) + 1
     return Vocabulary(rank, count, unit, ending, units, total, distinct, share, frequency / frequency.sum())
@@ -152,87 +167,140 @@ def laid(docs: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
     return stream, at
 
 
-def _summed(to: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct indexes and the sums of their rows."""
-    order = np.argsort(to, kind="stable")
-    to = to[order]
-    starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-    return to[starts], np.add.reduceat(rows[order], starts, axis=0)
+def _summed(to: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows that go to each of n."""
+    d = rows.shape[1]
+    at = (to[:, None] * d + np.arange(d)).ravel()
+    return np.bincount(at, weights=rows.ravel(), minlength=n * d).reshape(n, d).astype(np.float32)
+
+
+def _alias(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tables to draw a place of a row by its share, flat: a place that is drawn evenly is kept with a probability, or else
+    another is taken (Walker's method)."""
+    rows, n = shares.shape
+    keep, other = np.ones(rows * n, np.float32), np.arange(rows * n)
+    for r in range(rows):
+        left = (shares[r] * n).tolist()
+        small, large = [i for i, x in enumerate(left) if x < 1], [i for i, x in enumerate(left) if x >= 1]
+        while small and large:
+            i, k = small.pop(), large[-1]
+            keep[r * n + i], other[r * n + i] = left[i], r * n + k
+            left[k] -= 1 - left[i]
+            if left[k] < 1:
+                small.append(large.pop())
+    return keep, other
 
 
 class LogBilinear:
-    """r: vectors of the context's units; near: weights of each distance; q, bias: of the units that are predicted."""
+    """r: vectors of the context's units; near: weights of each distance; g, class_bias: of the classes; q, bias: of the
+    units by class and place in it. Unit u is at place u // classes of class u % classes; some places of the last row are empty."""
 
     def __init__(self, frequency: np.ndarray, weights: np.ndarray | None = None, order: int = ORDER, dim: int = DIM):
         self.frequency, self.order, self.dim, u = frequency, order, dim, len(frequency)
+        self.classes = max(1, math.isqrt(u))
+        self.width = -(-u // self.classes)
+        c, w = self.classes, self.width
+        placed = np.zeros(c * w)
+        placed[self.place(np.arange(u))] = frequency
+        within = placed.reshape(c, w)
+        self.of_class = within.sum(axis=1)
+        self.within = within / self.of_class[:, None]
+        self.keep, self.other = _alias(self.within)
+        with np.errstate(divide="ignore"):
+            logs = np.log(self.within)
         if weights is None:
-            r = np.random.default_rng(5)
-            weights = np.concatenate([r.normal(0, 0.1, u * dim), np.ones(order * dim) / order, r.normal(0, 0.1, u * dim), np.log(frequency)])
-        self.weights = weights.astype(np.float32)
-        cuts = np.cumsum([u * dim, order * dim, u * dim])
-        r, near, q, self.bias = np.split(self.weights, cuts)  # views: a step on them is one on the weights
-        self.r, self.near, self.q = r.reshape(u, dim), near.reshape(order, dim), q.reshape(u, dim)
+            x = np.random.default_rng(5)
+            weights = np.concatenate([x.normal(0, 0.1, u * dim), np.ones(order * dim) / order, x.normal(0, 0.1, c * dim), np.log(self.of_class), x.normal(0, 0.1, c * w * dim), np.where(within > 0, logs, -1e4).ravel()])
+        self.weights = np.asarray(weights).astype(np.float32)
+        self.r, self.near, self.g, self.class_bias, self.q, self.bias = self._parts(self.weights)  # views: a step on them is one on the weights
+        self.log_class = np.log(self.of_class * CLASSES).astype(np.float32)
+        self.log_unit = np.where(within > 0, logs + math.log(NOISE), 0).ravel().astype(np.float32)
 
-    def contexts(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.stack([stream[at - 1 - j] for j in range(self.order)])
+    def place(self, units: np.ndarray) -> np.ndarray:
+        return units % self.classes * self.width + units // self.classes
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.r[context[j]] * self.near[j] for j in range(self.order))
+    def _parts(self, x: np.ndarray) -> list[np.ndarray]:
+        u, d, n, c, w = len(self.frequency), self.dim, self.order, self.classes, self.width
+        r, near, g, class_bias, q, bias = np.split(x, np.cumsum([u * d, n * d, c * d, c, c * w * d]))
+        return [r.reshape(u, d), near.reshape(n, d), g.reshape(c, d), class_bias, q.reshape(c * w, d), bias]
 
     def learn(self, docs: list[np.ndarray], random: np.random.Generator, squares: np.ndarray, rate: float = RATE) -> None:
         """One pass over the documents' positions in random order, steps scaled by the sums of squared slopes (`squares`)."""
         stream, at = laid(docs, self.order)
         at = random.permutation(at)
-        u, d, n = len(self.frequency), self.dim, self.order
-        sr, sn, sq, sb = np.split(squares, np.cumsum([u * d, n * d, u * d]))
-        sr, sn, sq = sr.reshape(u, d), sn.reshape(n, d), sq.reshape(u, d)
-        log_noise = np.log(self.frequency * NOISE).astype(np.float32)
-        cumulated = np.cumsum(self.frequency)
+        sr, sn, sg, sc, sq, sb = self._parts(squares)
+        d, u, c, w = self.dim, len(self.frequency), self.classes, self.width
+        of_classes = np.cumsum(self.of_class)
+        above = lambda over: 1 / (1 + np.exp(-np.clip(over, -30, 30)))  # noqa: E731  the chance of being true
 
-        def step(weights, squares, rows, slope):
-            squares[rows] += slope**2
-            weights[rows] -= rate * slope / np.sqrt(squares[rows])
+        def step(weights, squares, slope):
+            squares += slope**2
+            weights -= rate * slope / np.sqrt(squares)
 
         for b in range(0, len(at), BATCH):
             places = at[b : b + BATCH]
-            context, true = self.contexts(stream, places), stream[places]
-            noise = np.minimum(np.searchsorted(cumulated, random.random(NOISE)), u - 1)
-            h = self.hidden(context)
-            q_true, q_noise = self.q[true], self.q[noise]
-            over_true = np.einsum("bd,bd->b", h, q_true) + self.bias[true] - log_noise[true]
-            over_noise = h @ q_noise.T + self.bias[noise] - log_noise[noise]
-            # slopes of the loss by the scores: true units are to be above noise, noise units below
-            g_true = -1 / (1 + np.exp(np.clip(over_true, -30, 30)))
-            g_noise = 1 / (1 + np.exp(-np.clip(over_noise, -30, 30)))
-            g_h = g_true[:, None] * q_true + g_noise @ q_noise
-            rows, slope = _summed(np.concatenate([true, noise]), np.concatenate([g_true[:, None] * h, g_noise.T @ h]))
-            flat, biases = _summed(np.concatenate([true, noise]), np.concatenate([g_true, g_noise.sum(axis=0)]))
-            near = np.stack([(g_h * self.r[context[j]]).sum(axis=0) for j in range(n)])
-            seen, g_r = _summed(context.ravel(), (g_h[None] * self.near[:, None]).reshape(-1, d))
-            step(self.q, sq, rows, slope)
-            step(self.bias, sb, flat, biases)
-            step(self.near, sn, slice(None), near)
-            step(self.r, sr, seen, g_r)
+            true, n = stream[places], len(places)
+            context = stream[places - 1 - np.arange(self.order)[:, None]]
+            vectors = self.r[context]
+            h = np.einsum("jbd,jd->bd", vectors, self.near)
+            # classes: true ones are to be above noise, noise below
+            own = true % c
+            noise = np.minimum(np.searchsorted(of_classes, random.random(CLASSES)), c - 1)
+            g_own, g_noise = self.g[own], self.g[noise]
+            below = above(np.einsum("bd,bd->b", h, g_own) + self.class_bias[own] - self.log_class[own]) - 1
+            over = above(h @ g_noise.T + self.class_bias[noise] - self.log_class[noise])
+            slope_h = below[:, None] * g_own + over @ g_noise
+            slope = _summed(np.concatenate([own, noise]), np.column_stack([np.concatenate([below[:, None] * h, over.T @ h]), np.concatenate([below, over.sum(axis=0)])]), c)
+            step(self.g, sg, slope[:, :d])
+            step(self.class_bias, sc, slope[:, d])
+            # units: the true one and noise of its class
+            drawn = own[:, None] * w + random.integers(0, w, (n, NOISE))
+            drawn = np.where(random.random((n, NOISE), np.float32) < self.keep[drawn], drawn, self.other[drawn])
+            units = np.column_stack([self.place(true), drawn])
+            q = self.q[units]
+            chance = above(np.einsum("bd,bkd->bk", h, q) + self.bias[units] - self.log_unit[units])
+            chance[:, 0] -= 1
+            slope_h += np.einsum("bk,bkd->bd", chance, q)
+            flat = units.ravel()
+            step(self.q, sq, _summed(flat, (chance[:, :, None] * h[:, None]).reshape(-1, d), c * w))
+            step(self.bias, sb, np.bincount(flat, weights=chance.ravel(), minlength=c * w).astype(np.float32))
+            near = np.einsum("bd,jbd->jd", slope_h, vectors)
+            slope = _summed(context.ravel(), (slope_h[None] * self.near[:, None]).reshape(-1, d), u)
+            step(self.near, sn, near)
+            step(self.r, sr, slope)
 
     def log10(self, docs: list[np.ndarray]) -> np.ndarray:
         """The normalised log10 probability of each document's units."""
         stream, at = laid(docs, self.order)
         weighted, out = [self.r * w for w in self.near], np.empty(len(at))
-        q, u = np.ascontiguousarray(self.q.T), len(self.bias)
-        scores = np.empty((ROWS, u), np.float32)
+        groups, inner, biases = np.ascontiguousarray(self.g.T), self.q.reshape(self.classes, self.width, -1).transpose(0, 2, 1).copy(), self.bias.reshape(self.classes, -1)
         for b in range(0, len(at), ROWS):
             places = at[b : b + ROWS]
-            h = sum(w[stream[places - 1 - j]] for j, w in enumerate(weighted))
-            s = np.matmul(h, q, out=scores[: len(places)])
-            s += self.bias
-            own = s[np.arange(len(places)), stream[places]].astype(float)
-            most = s.max(axis=1)
-            s -= most[:, None]
-            np.exp(s, out=s)
-            out[b : b + ROWS] = own - most - np.log(s.sum(axis=1, dtype=np.float64))
+            # by class, so that the units of a class are one product
+            true = stream[places]
+            order = np.argsort((true % self.classes).astype(np.uint16), kind="stable")
+            places, true = places[order], true[order]
+            h = weighted[0][stream[places - 1]]
+            for j in range(1, self.order):
+                h += weighted[j][stream[places - 1 - j]]
+            own, inside = true % self.classes, true // self.classes
+            got = _log_share(h @ groups + self.class_bias, own)
+            ends = np.searchsorted(own, np.arange(self.classes + 1))
+            for c in range(self.classes):
+                i, k = ends[c], ends[c + 1]
+                if i < k:
+                    got[i:k] += _log_share(h[i:k] @ inner[c] + biases[c], inside[i:k])
+            out[b + order] = got
         return np.add.reduceat(out, np.cumsum([0, *map(len, docs[:-1])])) / math.log(10)
 
 
+def _log_share(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The log of each row's softmax at its own column."""
+    scores -= scores.max(axis=1, keepdims=True)
+    chosen = scores[np.arange(len(own)), own].astype(float)
+    return chosen - np.log(np.exp(scores, out=scores).sum(axis=1))
+
+
 def encoded(docs: DataFrame, told) -> DataFrame:
     """A row for each document, written: `row`, doc_id, held_out, its units as 16-bit numbers, what its words of known rank
     add, and its other words with their multiplicities. told: a broadcast `Vocabulary`."""
