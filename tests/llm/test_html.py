@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -56,12 +57,12 @@ class Tree(HTMLParser):
 def slow_text(page):
     found = Tree(page).found
     for b in found:
-        b["comment"] = b["inside"] = b["vague"] = False
-        b["part"] = None
+        b["inside"] = b["vague"] = False
+        b["part"] = b["talk"] = None
         for tag, name, node in b["in"]:
             article = tag in ("article", "main") or name in ("post", "entry")
             away = tag in ("nav", "aside", "footer", "form") or tag == "header" and not b["inside"] or name in ("ad", "sidebar", "newsletter")
-            b["comment"] |= name == "comments"
+            b["talk"] = node if name == "comments" else b["talk"]
             b["part"] = b["part"] or (node if away and not article else None)
             b["vague"] |= name in ("promo", "byline")
             b["inside"] |= article
@@ -82,6 +83,11 @@ def slow_text(page):
             b["first"] = "bad"
         else:
             b["first"] = "good" if stops >= 0.25 and b["size"] > 200 else "near"
+    begun, told = False, {None: False}
+    for b in found:
+        b["comment"] = told.setdefault(b["talk"], begun)
+        if not b["comment"] and b["part"] is None:
+            begun |= b["first"] in ("good", "near") or b["inside"] and not b["vague"] and not b["heading"]
     total = lambda some: sum(b["size"] for b in some)
     long = [b for b in found if b["first"] == "good" and not b["comment"]]
     marked = any(b["inside"] and not b["part"] and not b["comment"] for b in found)
@@ -207,3 +213,36 @@ def test_other_languages():
 
 def test_long_page_is_linear():
     assert len(html.main_text("<div>" * 3000 + f"<p>{LONG}</p>" * 3000).split("\n")) == 3000
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body class='single single-post comments-open'><p>{LONG}</p></body>",
+        f"<html class='has-comments'><body><article class='post has-comments comments-open'><h1>T</h1><p>{LONG}</p></article></body>",
+        f"<div id='page' class='comments-closed'><nav>a b c</nav><p>{LONG}</p></div>",
+        f"<div class='entry reply-enabled'><p>{LONG}</p></div>",
+        f"<body class='comments-open'><main><p>{LONG}</p></main><div id='comments'><p>{LONG} I think so.</p></div><div class='comment-list'><p>{LONG} No.</p></div></body>",
+        f"<div id='page' class='comments-open'><p>{LONG}</p><section class='comments'><form>{LONG}</form><p>{LONG} So it is.</p></section></div>",
+        f"<article><p>Short.</p><p>{LONG}</p><div class='comments'>{f'<p>{LONG} x</p>' * 5}</div></article>",
+    ],
+)
+def test_a_state_in_a_class_is_no_comment(page):
+    assert [b for b in html.main_text(page).split("\n") if b not in ("T", "Short.")] == [LONG]
+
+
+def test_pages_that_measures_decide():
+    """Without a mark, or with one that is wrong, classes and neighbours decide: the same article in all its wrappings."""
+    card, links = "<p>Just a short note.</p>", "<div>" + "".join(f"<a href=x{i}>Another long title of a story {i}</a> " for i in range(9)) + "</div>"
+    body = f"<p>{LONG}</p><p>A short one.</p><p>{LONG}</p>"
+    for wrap in ("<div>{}</div>", "<div class='footer'>{}</div>", "<section id='sidebar'>{}</section>", "<div class='comments-open'>{}</div>"):
+        for marked in (f"<div class='post'>{card}</div>", f"<div class='content'>{card}</div>"):
+            got = html.main_text(links + wrap.format(body) + (marked if wrap == "<div>{}</div>" else "") + links)
+            assert got.split("\n")[:3] == [LONG, "A short one.", LONG] and "Another" not in got
+
+
+@pytest.mark.parametrize("page", ["<title>" * 30000, "<b>" * 30000 + "</i>" * 30000, "<b>" * 20000 + "<p></p>" * 20000, "<script>" * 30000, "<a href=x>" * 30000 + "</p>" * 30000, "<div>" * 30000 + "</span>" * 30000])
+def test_stray_and_unclosed_tags_are_linear(page):
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 5

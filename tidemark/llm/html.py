@@ -12,8 +12,10 @@ blocks take the label of their nearest decided neighbours, and a heading is good
 
 Marks, which are tags, roles and words of class and id, are priors that move a class, weighed against the text:
 - what says it is a menu, footer, sidebar, notice, advert or form is bad, unless the page marks no article elsewhere and
-  the part has more than half of the page's long running text: then the mark is no longer believed. Comments
-  read like the article, so only their mark tells them, and it is always believed.
+  the part has more than half of the page's long running text: then the mark is no longer believed.
+- comments read like the article, so no measure tells them, but they follow something: what is named after them is
+  believed if running text or a part of the article comes before it. What begins the page's text is the article,
+  in a part whose class says that it may be commented on. The whole page and an article's own tag are never comments.
 - vaguer words (promotion, header, tags and such) make open and near blocks bad; long running text stays good.
 - an article mark is believed if the marked parts have at least half of the page's running text. Then what is
   outside of them is bad but for a heading just before them; inside, near blocks are good, those of few stop words are
@@ -27,6 +29,7 @@ result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -92,12 +95,12 @@ _SCOPE = frozenset("article aside body div footer form header main nav section t
 
 
 class Block:
-    """away: the outermost part that says it isn't of the article, 0 for none, negative for comments."""
+    """away: the outermost part that says it isn't of the article, talk: the innermost that says it is comments; 0 for none."""
 
-    __slots__ = ("away", "first", "heading", "inside", "label", "linked", "parts", "text", "vague")
+    __slots__ = ("away", "first", "heading", "inside", "label", "linked", "parts", "talk", "text", "vague")
 
-    def __init__(self, away: int = 0, vague: bool = False, inside: bool = False, heading: bool = False):
-        self.parts, self.linked, self.away, self.vague, self.inside, self.heading = [], 0, away, vague, inside, heading
+    def __init__(self, away: int = 0, talk: int = 0, vague: bool = False, inside: bool = False, heading: bool = False):
+        self.parts, self.linked, self.away, self.talk, self.vague, self.inside, self.heading = [], 0, away, talk, vague, inside, heading
 
     def close(self) -> bool:
         self.text = _SPACE.sub(" ", unescape("".join(self.parts))).strip()
@@ -107,8 +110,10 @@ class Block:
 def blocks(html: str) -> list[Block]:
     """The blocks of a page that have text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, and what held before it: away, vague, inside, linked
-    away, vague, inside, linked, n_parts = 0, False, False, False, 0
+    stack: list[tuple[str, int, int, bool, bool, bool]] = []  # tag, and what held before it: away, talk, vague, inside, linked
+    away, talk, vague, inside, linked, n_parts = 0, 0, False, False, False, 0
+    opened: Counter[str] = Counter()  # the tags of the stack, so that it isn't searched for what it doesn't hold
+    endless: set[str] = set()  # tags of which no end is left on the page
     block = Block()
     at, n = 0, len(html)
 
@@ -121,7 +126,14 @@ def blocks(html: str) -> list[Block]:
         nonlocal block
         if block.close():
             out.append(block)
-        block = Block(away, vague, inside, heading)
+        block = Block(away, talk, vague, inside, heading)
+
+    def cut(k: int) -> None:
+        nonlocal away, talk, vague, inside, linked
+        away, talk, vague, inside, linked = stack[k][1:]
+        for tag, *_ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
 
     while at < n:
         m = _TOKEN.search(html, at)
@@ -140,10 +152,14 @@ def blocks(html: str) -> list[Block]:
         if not m["end"]:
             if tag in SILENT:
                 if not attrs.endswith("/"):
-                    close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
+                    close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
                     # an unclosed one ends with its page; head and title end where the body starts
-                    if close is None and tag in ("head", "title"):
-                        close = re.compile(r"(?=<body\b)", re.IGNORECASE).search(html, at)
+                    if close is None:
+                        endless.add(tag)
+                        if tag in ("head", "title") and "body" not in endless:
+                            close = re.compile(r"(?=<body\b)", re.IGNORECASE).search(html, at)
+                            if close is None:
+                                endless.add("body")
                     at = close.end() if close else (at if tag in ("head", "title") else n)
                 if tag in BLOCK:
                     turn()
@@ -157,26 +173,28 @@ def blocks(html: str) -> list[Block]:
                 continue
             if tag in _CLOSES or tag in BLOCK:
                 closes = _CLOSES.get(tag, set()) | ({"p"} if tag in BLOCK else set())
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if any(opened[x] for x in closes) else ():
                     if stack[k][0] in closes:
-                        away, vague, inside, linked = stack[k][1:]
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in _SCOPE:
                         break
-            stack.append((tag, away, vague, inside, linked))
+            stack.append((tag, away, talk, vague, inside, linked))
+            opened[tag] += 1
             names = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(attrs)}
             named = f"{names.get('class', '')} {names.get('id', '')}"
             hidden = "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
             if tag in BLOCK:
-                role, comments = names.get("role", "").lower(), bool(COMMENT_NAMES.search(named))
-                article = not comments and (tag in ("article", "main") or role in ("main", "article") or names.get("itemprop") == "articleBody" or bool(ARTICLE_NAMES.search(named)))
+                role, own = names.get("role", "").lower(), tag in ("html", "body", "article", "main")
+                comments = not own and bool(COMMENT_NAMES.search(named))
+                article = tag in ("article", "main") or role in ("main", "article") or names.get("itemprop") == "articleBody" or bool(ARTICLE_NAMES.search(named))
                 if inside:
                     named = HEADER_NAMES.sub(" ", named)
-                whole = tag in ("html", "body", "article", "main") or article
+                whole = own or article
                 says_away = hidden or (tag in OUTSIDE and not (tag == "header" and inside)) or role in ROLES or (not whole and bool(CLEAR_NAMES.search(named)))
                 if comments:
-                    away = -1
+                    n_parts += 1
+                    talk = n_parts
                 elif says_away and not away:
                     n_parts += 1
                     away = n_parts
@@ -191,17 +209,13 @@ def blocks(html: str) -> list[Block]:
             if tag == "a":
                 linked = True
         else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    was = away
-                    away, vague, inside, linked = stack[k][1:]
-                    del stack[k:]
-                    if tag in BLOCK or was != away:
-                        turn()
-                    break
-            else:
-                if tag == "p":
+            if opened[tag]:
+                was = away
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+                if tag in BLOCK or was != away:
                     turn()
+            elif tag == "p":
+                turn()
     turn()
     return out
 
@@ -242,12 +256,22 @@ def _neighbours(labels: list[str]) -> list[tuple[tuple[str, int], tuple[str, int
     return list(zip(*sides, strict=True))
 
 
+def _comments(found: list[Block]) -> set[int]:
+    """The parts that are comments: those before which there is running text, or something of the article."""
+    seen: dict[int, bool] = {}
+    begun = False
+    for b in found:
+        if not seen.setdefault(b.talk, b.talk > 0 and begun) and not b.away:
+            begun = begun or b.first in ("good", "near") or (b.inside and not b.vague and not b.heading)
+    return {talk for talk, is_so in seen.items() if is_so}
+
+
 def _believed(found: list[Block], sizes: list[int]) -> tuple[set[int], bool]:
-    """The marked parts that aren't believed to be outside the article, and whether the article's mark is."""
+    """The marked parts that aren't believed to be outside the article, and whether the article's mark is; found: no comments."""
     running, inside, held = 0, 0, {}
     long, article = 0, any(b.inside and not b.away for b in found)
     for b, size in zip(found, sizes, strict=True):
-        if b.first == "good" and b.away >= 0:
+        if b.first == "good":
             long += size
             held[b.away] = held.get(b.away, 0) + size
     doubted = {part for part, size in held.items() if part and 2 * size > long and not article}
@@ -285,10 +309,12 @@ def classified(found: list[Block]) -> list[Block]:
     known = any(size >= LENGTH_LOW and links <= LINKS and stops >= STOPS_LOW for size, links, stops in measured)
     for b, (size, links, stops) in zip(found, measured, strict=True):
         b.first = first_pass(size, links, stops if known else 1.0)
-    doubted, article = _believed(found, [m[0] for m in measured])
+    comments = _comments(found)
+    others = [k for k, b in enumerate(found) if b.talk not in comments]
+    doubted, article = _believed([found[k] for k in others], [measured[k][0] for k in others])
     labels = []
     for b, (size, links, _) in zip(found, measured, strict=True):
-        if b.away and b.away not in doubted:
+        if b.talk in comments or (b.away and b.away not in doubted):
             label = "bad"
         elif article:
             # a heading may be one link, and a paragraph may have many; a short block of nothing else is a menu
@@ -304,7 +330,7 @@ def classified(found: list[Block]) -> list[Block]:
         for k, label in zip(at, _within([found[k] for k in at], [labels[k] for k in at]), strict=True):
             labels[k] = label
         for k, b in enumerate(found[:-1]):
-            if b.heading and b.first == "open" and not (b.away or b.vague or b.inside) and found[k + 1].inside and labels[k + 1] == "good":
+            if b.heading and b.first == "open" and not (b.away or b.vague or b.inside or b.talk in comments) and found[k + 1].inside and labels[k + 1] == "good":
                 labels[k] = "good"
     else:
         labels = second_pass(found, labels)
