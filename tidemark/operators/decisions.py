@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timegrid import micros
+from ..sources.shared import written
+
 #: Shares of equity in percent, leverage, the stop's buffer and the edge's margin over cost.
 RISK_PCT, OPEN_RISK_PCT, DAY_LOSS_PCT, DRAWDOWN_PCT, LEVERAGE, STOP_BUFFER_PCT, EDGE_MARGIN = 0.25, 1.0, 3.0, 15.0, 3.0, 20.0, 1.5
 #: Funding that vetoes, analogs needed, the share that may go against, the spread's percentile.
@@ -68,16 +71,82 @@ def state_key(regime: Column, vol: Column, spread: Column, funding: Column, dire
     return F.substring(F.sha2(parts, 256), 1, 12)
 
 
+#: Rows of the smallest and how many times larger the next blocks of `smaller_before` are, and how many sizes there are:
+#: the largest has RADIX ** (SIZES - 1) rows.
+RADIX, SIZES = 4, 7
+#: Seconds of a block of time within which rows are counted in order.
+BLOCK_S = 30 * 86400
+
+
+def _running(marks: DataFrame, sums: tuple[str, ...]) -> DataFrame:
+    """marks with the sum of each column over all rows of the key up to each, in the order of `_us` and `_ord`: the sum
+    within the row's block of time, and those of the blocks before."""
+    block = F.floor(F.col("_us") / (BLOCK_S * 1_000_000))
+    m = marks.withColumn("_block", block)
+    within = Window.partitionBy("key", "_block").orderBy("_us", "_ord").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = m.groupBy("key", "_block").agg(*(F.sum(c).alias(f"_b{c}") for c in sums))
+    whole = whole.select("key", "_block", *(F.coalesce(F.sum(f"_b{c}").over(before), F.lit(0)).alias(f"_p{c}") for c in sums))
+    m = m.select("*", *(F.sum(c).over(within).alias(f"_w{c}") for c in sums)).join(whole, ["key", "_block"])
+    return m.select(*marks.columns, *((F.col(f"_w{c}") + F.col(f"_p{c}")).alias(f"{c}_so_far") for c in sums))
+
+
+def smaller_before(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """For each range the number of rows of its key at positions from `lo` up to, without, `hi` whose `_s` is smaller than
+    `x`: id, below. rows: key, `_at` (the position, from 0), `_s`; ranges: id, key, lo, hi, x.
+
+    Positions are cut into blocks of `RADIX` sizes, and a range into a few blocks of each size. In each block rows and
+    ranges are sorted by value once and counted on the way: rows meet no range, and a block has a bounded number of rows."""
+    size = lambda k: RADIX**k
+    spread = rows.select("key", "_s", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col("_at") / size(k)).alias("b")) for k in range(SIZES)))).alias("_n"))
+    up = lambda x, k: F.ceil(x / size(k))
+    down = lambda x, k: F.floor(x / size(k))
+    parts = []
+    for k in range(SIZES):
+        first, last = up(F.col("lo"), k), down(F.col("hi"), k)
+        if k == SIZES - 1:
+            runs = [(first, last)]
+        else:
+            # what larger blocks cover of it is left to them
+            inner_first, inner_last = up(F.col("lo"), k + 1) * RADIX, down(F.col("hi"), k + 1) * RADIX
+            none = inner_first >= inner_last
+            runs = [(first, F.when(none, last).otherwise(inner_first)), (F.when(none, last).otherwise(inner_last), last)]
+        for a, b in runs:
+            blocks = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+            parts.append(_numbered_blocks(blocks, k))
+    asked = ranges.select("id", "key", F.col("x").alias("_s"), F.explode(F.concat(*parts)).alias("_n"))
+    both = spread.select("key", "_s", "_n", F.lit(1).alias("_row"), F.lit(None).cast(ranges.schema["id"].dataType).alias("id")).unionByName(asked.select("key", "_s", "_n", F.lit(0).alias("_row"), "id"))
+    # of equal values a range comes first: it counts smaller ones
+    order = Window.partitionBy("key", "_n").orderBy("_s", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("_c", F.sum("_row").over(order)).filter("_row = 0")
+    return counted.groupBy("id").agg(F.sum("_c").alias("below"))
+
+
+def _numbered_blocks(blocks: Column, k: int) -> Column:
+    return F.transform(blocks, lambda v: F.struct(F.lit(k).alias("k"), v.alias("b")))
+
+
 def scrutinised(cases: DataFrame, history: DataFrame, embargo_days: int = 1, back_days: int = 730, adverse_pct: float = 1.0) -> DataFrame:
     """Each case with its verdict, from past rows of equal state within the time span. cases: case_id, time, key,
     direction, funding_rate, spread_pct; history: time, key, adverse_pct, spread_pct.
 
-    Only counts and one rank are needed, so matches are counted and never collected: the spread's rank among its
-    analogs is how many of them are below or equal."""
+    Counts within a span are differences of running counts at its ends. The spread's rank among its analogs, which is
+    how many of them are below or equal, comes from `smaller_before`. No case meets a row."""
     c = F.col
-    h = history.select(c("key"), c("time").alias("_t"), c("adverse_pct").alias("_a"), c("spread_pct").alias("_s"))
-    span = (c("_t") >= c("time") - F.expr(f"INTERVAL {back_days} DAYS")) & (c("_t") <= c("time") - F.expr(f"INTERVAL {embargo_days} DAYS"))
-    met = cases.join(h, "key").filter(span).groupBy("case_id").agg(F.count("*").alias("analogs"), F.count_if(c("_a") >= adverse_pct).alias("adverse"), F.count("_s").alias("_n"), F.count_if(c("_s") < c("spread_pct")).alias("_below"))
+    day = 86_400_000_000
+    us = micros(c("time"))
+    h = history.filter(c("key").isNotNull() & c("time").isNotNull())
+    rows = h.select("key", us.alias("_us"), F.lit(0).alias("_ord"), F.lit(None).cast(cases.schema["case_id"].dataType).alias("case_id"), F.lit(1).alias("_n"), F.coalesce((c("adverse_pct") >= adverse_pct).cast("int"), F.lit(0)).alias("_a"), c("spread_pct").isNotNull().cast("int").alias("_k"), c("spread_pct").alias("_s"))
+    # before the rows of its instant where the span begins, after them where it ends
+    ends = F.explode(F.array(F.struct((us - back_days * day).alias("_us"), F.lit(-1).alias("_ord")), F.struct((us - embargo_days * day).alias("_us"), F.lit(1).alias("_ord")))).alias("_e")
+    marks = cases.filter(c("key").isNotNull() & c("time").isNotNull()).select("key", "case_id", ends).select("key", "_e._us", "_e._ord", "case_id", *(F.lit(0).alias(n) for n in ("_n", "_a", "_k")), F.lit(None).cast(h.schema["spread_pct"].dataType).alias("_s"))
+    ran = written(_running(rows.unionByName(marks), ("_n", "_a", "_k")), "analog-counts")
+    at = lambda n, o: F.max(F.when(c("_ord") == o, c(f"{n}_so_far")))
+    spans = ran.filter("_ord <> 0").groupBy("case_id", "key").agg((at("_n", 1) - at("_n", -1)).alias("analogs"), (at("_a", 1) - at("_a", -1)).alias("adverse"), at("_k", -1).alias("lo"), at("_k", 1).alias("hi"))
+    spans = written(spans.join(cases.select("case_id", c("spread_pct").alias("x")), "case_id"), "analog-spans")
+    known = ran.filter("_ord = 0 and _k = 1").select("key", (c("_k_so_far") - 1).alias("_at"), "_s")
+    below = smaller_before(known, spans.filter("hi > lo and x is not null").select(c("case_id").alias("id"), "key", "lo", "hi", "x"))
+    met = spans.select("case_id", "analogs", "adverse", (c("hi") - c("lo")).alias("_n")).join(below.select(c("id").alias("case_id"), c("below").alias("_below")), "case_id", "left").withColumn("_below", F.coalesce("_below", F.lit(0)))
     j = cases.join(met, "case_id", "left").withColumn("analogs", F.coalesce("analogs", F.lit(0))).withColumn("adverse", F.coalesce("adverse", F.lit(0)))
     paying = ((c("funding_rate") > 0) & (c("direction") == "LONG")) | ((c("funding_rate") < 0) & (c("direction") == "SHORT"))
     # above the value at the truncated index means that all values up to it are below

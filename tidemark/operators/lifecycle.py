@@ -82,7 +82,7 @@ def gates(slots: DataFrame, proposals: DataFrame, legs: DataFrame, runs: DataFra
     cost = legs.agg(F.count("*").alias("n"), F.sum("cost_drift_usd").alias("usd"))
     best = runs.agg(F.max(F.when(c("passed"), c("deflated_sharpe"))).alias("dsr"), F.count_if("holdout").alias("burns"))
     # both sides are one row
-    best = best.withColumn("n", F.lit(cost.select("n").first()[0]))
+    best = best.crossJoin(cost.select("n"))
     last = drills.agg(F.max_by(F.struct("flat", "elapsed_ms"), "at").alias("d"), F.count("*").alias("n"), F.count_if("unverified").alias("unverified"))
     report = [
         _gate(day, "collector_24h", c("ok") > 0, (c("bad") == 0) & (c("ok") >= 1440 * 0.999), c("ok")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import governance, market, records, runs, streams
+from . import checks, governance, market, records, runs, streams
 from .registry import QUERIES, SQL
 
 
@@ -21,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["flagship", "oracle_sql", "queries", "records", "runs", "governance", "streams"]
+__all__ = ["flagship", "oracle_sql", "queries", "records", "runs", "governance", "streams", "checks"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timegrid import TIMEFRAMES
 from ..operators import asof, bars, coverage, lifecycle, regimes, replay, validation
-from ..sources import runs
+from ..sources import commits, runs
 from ..sources.shared import written
 from . import definition, strategy
 
@@ -84,6 +85,9 @@ def backtest(b: DataFrame, payload: dict, path: str, start, end, as_of, now, fee
         raise coverage.CoverageError(f"no more bars than the warm-up of {warmup}")
     config = {"definition": d, "window": [str(start), str(end)], "warmup": warmup, "holdout": holdout}
     run_id, sign, digest = uuid.uuid4().hex, _digest("|".join(sorted(definition.signature(d)))), _digest(json.dumps(config, sort_keys=True))
+    # of several at once one has the look, whatever the trials held when they read them
+    if holdout and not commits.claim(spark, f"{path}/looks/{quote(d['id'], safe='')}", run_id):
+        raise HoldoutViolation(f"{d['id']} has had its look")
     spark.createDataFrame([(run_id, d["id"], sign, digest, holdout)], TRIALS).write.mode("append").parquet(f"{path}/trials")
     n_trials = _trials(spark, path).select("signature", "config_hash").distinct().count()
     x = d["exit"]
