@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gate
+from ..functions.timegrid import floored
+from ..operators import coverage, gate
 from ..sources import history
+from ..streaming import coverage as live_coverage
 from ..streaming import state
 from .governance import drained
 from .market import KEYS, ticks
@@ -85,3 +87,15 @@ def latency_stream(spark, d):
     got = drained(spark, d, "latencies", lambda s: state.latencies(s.select("event_type", "ts", "event_id", "value"), ("event_type",), "ts", "event_id", "value"))
     last = got.groupBy("event_type").agg(F.max_by(F.struct("p50", "p95", "samples"), F.struct("at", "samples")).alias("x")).select("event_type", "x.*")
     return last.select("event_type", r6("p50"), r6("p95"), "samples")
+
+
+@query("coverage_stream", "SELECT date_trunc('hour', ts) AS slot, CASE max(CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END) WHEN 0 THEN 'gap' WHEN 1 THEN 'partial' ELSE 'complete' END AS state FROM events GROUP BY 1")
+def coverage_stream(spark, d):
+    """The states of hours as a drained stream of marks has raised them; equal to slot_states."""
+
+    def build(s):
+        state_ = F.when(F.col("event_type") == "error", "gap").when(F.col("event_type") == "view", "partial").otherwise("complete")
+        marks = s.select(F.lit("all").alias("feed"), "ts", floored(F.col("ts"), 3600).alias("slot"), state_.alias("state"))
+        return live_coverage.raised(marks, ("feed",), "ts")
+
+    return coverage.merged_states(drained(spark, d, "coverage", build), ("slot",))
