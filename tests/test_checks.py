@@ -210,3 +210,22 @@ def test_smaller_before(spark):
         asked.append((i, k, lo, hi, float(r.randint(0, 21))))
     got = {x["id"]: x["below"] for x in decisions.smaller_before(rows, spark.createDataFrame(asked, "id int, key string, lo long, hi long, x double")).collect()}
     assert all(got.get(i, 0) == sum(v < x for v in values[k][lo:hi]) for i, k, lo, hi, x in asked)
+
+
+def test_running_values_over_blocks(spark):
+    from tidemark.operators import running
+
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "b", None]), None if i % 50 == 0 else datetime(2025, 1, 1) + timedelta(hours=r.randint(0, 2000)), i, None if r.random() < 0.1 else r.randint(-9, 9)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, i int, v int")
+    got = running.with_totals(running.running(df, ("k",), running.time_block(F.col("t")), ("t", "i"), {"s": F.col("v"), "n": F.lit(1)}, {"m": F.col("v")}), ("k",), total=F.count("v")).collect()
+    assert len(got) == len(rows)
+    for k in ("a", "b", None):
+        s, m, n = None, None, 0
+        some = sorted((x for x in rows if x[0] == k), key=lambda x: (x[1] is not None, x[1], x[2]) if x[1] else (False, datetime.min, x[2]))
+        mine = {x["i"]: x for x in got if x["k"] == k}
+        for _, _, i, v in some:
+            n += 1
+            if v is not None:
+                s, m = (s or 0) + v, v if m is None else max(m, v)
+            assert (mine[i]["s"], mine[i]["m"], mine[i]["n"], mine[i]["total"]) == (s, m, n, sum(x[3] is not None for x in some))

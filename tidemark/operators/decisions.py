@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timegrid import micros
 from ..sources.shared import written
+from .running import running, time_block
 
 #: Shares of equity in percent, leverage, the stop's buffer and the edge's margin over cost.
 RISK_PCT, OPEN_RISK_PCT, DAY_LOSS_PCT, DRAWDOWN_PCT, LEVERAGE, STOP_BUFFER_PCT, EDGE_MARGIN = 0.25, 1.0, 3.0, 15.0, 3.0, 20.0, 1.5
@@ -176,11 +177,11 @@ def liquidation_price(entry: Column, direction: Column, maintenance: float, leve
 
 def kills(curve: DataFrame, keys: tuple[str, ...], time: str, equity: str) -> DataFrame:
     """The equity curve with the level that each point would set off: 3 for the drawdown, 2 for the day's loss."""
-    order = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    curve = running(curve, keys, time_block(F.col(time)), (time,), most={"_peak": F.col(equity)})
     day = Window.partitionBy(*keys, F.to_date(time)).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    e, peak, opened = F.col(equity), F.max(equity).over(order), F.first(equity).over(day)
+    e, peak, opened = F.col(equity), F.col("_peak"), F.first(equity).over(day)
     fall, lost = (peak - e) / peak * 100, (e - opened) / opened * 100
-    return curve.withColumn("kill_level", F.when(fall >= DRAWDOWN_PCT, 3).when(lost <= -DAY_LOSS_PCT, 2).otherwise(0))
+    return curve.withColumn("kill_level", F.when(fall >= DRAWDOWN_PCT, 3).when(lost <= -DAY_LOSS_PCT, 2).otherwise(0)).drop("_peak")
 
 
 def depth(bids: Column, asks: Column, levels: int = 20) -> tuple[Column, Column, Column]:

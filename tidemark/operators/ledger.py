@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 from ..functions.timegrid import micros
+from .running import with_totals
 
 LEG = ("trade_id", "leg")
 
@@ -65,9 +66,11 @@ def cost_ratio(legs: DataFrame, keys: tuple[str, ...], last: int = 10) -> DataFr
 
 def losing_runs(pnl: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: str) -> DataFrame:
     """How many of the last trades in a row lost, with count and mean."""
-    back = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
-    losing = F.min(F.when(F.col(value) < 0, 1).otherwise(0)).over(back)
-    return pnl.withColumn("_l", losing).groupBy(*keys).agg(F.sum("_l").cast("long").alias("losing_run"), F.count("*").alias("trades"), F.avg(value).alias("expectancy"))
+    lost = F.coalesce(F.col(value) < 0, F.lit(False))
+    # those after the last trade that didn't lose
+    known = with_totals(pnl, keys, _last=F.max(F.when(~lost, F.struct(*order))))
+    after = F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))
+    return known.groupBy(*keys).agg(F.count_if(after).alias("losing_run"), F.count("*").alias("trades"), F.avg(value).alias("expectancy"))
 
 
 def decay(runs: DataFrame, win_rate: Column, drift_ratio: Column, least: int = 50, alpha: float = 0.01, multiple: float = 1.5) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import deflated_sharpe, moments
+from .running import running, time_block, with_totals
 
 #: What a strategy must reach.
 FOLDS, LEAST_TRADES, MOST_DRAWDOWN, POSITIVE_REGIMES, CONFIDENCE = 4, 200, 25.0, 2, 0.95
@@ -13,19 +14,19 @@ FOLDS, LEAST_TRADES, MOST_DRAWDOWN, POSITIVE_REGIMES, CONFIDENCE = 4, 200, 25.0,
 
 def walk_forward(trades: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: str, folds: int = FOLDS) -> DataFrame:
     """Sequential folds of equal size, the rest in the last; how many sum above zero, and whether most do."""
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy(*keys))
-    cut = trades.withColumn("_n", n).withColumn("_fold", F.least(F.floor(rn / F.greatest(F.floor(n / folds), F.lit(1))), F.lit(folds - 1)))
+    numbered = with_totals(running(trades, keys, time_block(F.col(order[0])), order, sums={"_i": F.lit(1)}), keys, _n=F.count("*"))
+    rn, n = F.col("_i") - 1, F.col("_n")
+    cut = numbered.withColumn("_fold", F.least(F.floor(rn / F.greatest(F.floor(n / folds), F.lit(1))), F.lit(folds - 1)))
     sums = cut.groupBy(*keys, "_fold").agg(F.sum(value).alias("_s"), F.max("_n").alias("_n"))
     out = sums.groupBy(*keys).agg(F.count_if((F.col("_s") > 0) & (F.col("_n") >= folds)).alias("positive_folds"))
     return out.withColumn("folds", F.lit(folds)).withColumn("consistent", F.col("positive_folds") >= folds // 2 + 1)
 
 
 def drawdown(curve: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], equity: str) -> DataFrame:
-    """The deepest fall from a running peak, in percent of the peak."""
-    peak = F.max(equity).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    """The deepest fall from a running peak, in percent of the peak. The first column of the order is a time."""
+    peak = F.col("_peak")
     fall = F.when(peak > 0, (peak - F.col(equity)) / peak * 100).otherwise(0.0)
-    return curve.withColumn("_d", fall).groupBy(*keys).agg(F.max("_d").alias("max_drawdown_pct"))
+    return running(curve, keys, time_block(F.col(order[0])), order, most={"_peak": F.col(equity)}).withColumn("_d", fall).groupBy(*keys).agg(F.max("_d").alias("max_drawdown_pct"))
 
 
 def by_regime(trades: DataFrame, labels: DataFrame, trade_time: str, label_time: str, value: str) -> DataFrame:

@@ -90,19 +90,20 @@ def holdout_refusals(spark, d):
     "gate_report",
     """WITH g AS (SELECT date_trunc('minute', ts) AS slot FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1),
 p AS (SELECT count(*) AS n, count(*) FILTER (WHERE p_size = 1) AS passed FROM part), l AS (SELECT count(*) AS n, coalesce(sum(l_tax - l_discount), 0) AS usd FROM lineitem WHERE l_returnflag = 'R'),
+d AS (SELECT count(*) AS n, arg_max(value < 400, ts) AS flat, arg_max(value * 5, ts) AS ms, count(*) FILTER (WHERE value < 0) AS unverified FROM events WHERE event_type = 'error'),
 b AS (SELECT max(o_totalprice / 100000) FILTER (WHERE o_orderstatus = 'F') AS dsr, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS burns FROM orders)
 SELECT 'collector_24h' AS gate, CASE WHEN count(*) = 0 THEN 'NO_DATA' WHEN count(*) >= 1440 * 0.999 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(count(*) AS DOUBLE) AS figure FROM g
 UNION ALL SELECT 'generator_honesty', CASE WHEN n < 200 THEN 'NO_DATA' WHEN passed / n < 0.05 THEN 'PASS' ELSE 'FAIL' END, round(passed / greatest(n, 1), 6) FROM p
 UNION ALL SELECT 'validated_strategy', CASE WHEN n < 400 THEN 'NO_DATA' WHEN dsr >= 2 AND burns >= 1 THEN 'PASS' ELSE 'FAIL' END, round(coalesce(dsr, 0), 6) FROM b, l
 UNION ALL SELECT 'cost_model_honest', CASE WHEN n < 100 THEN 'NO_DATA' WHEN usd <= 0 THEN 'PASS' ELSE 'FAIL' END, round(CAST(usd AS DOUBLE), 6) FROM l
-UNION ALL SELECT 'kill_flattens', 'NO_DATA', 0.0""",
+UNION ALL SELECT 'kill_flattens', CASE WHEN n = 0 THEN 'NO_DATA' WHEN flat AND ms < 2000 AND unverified = 0 THEN 'PASS' ELSE 'FAIL' END, round(coalesce(ms, 0), 6) FROM d""",
 )
 def gate_report(spark, d):
-    """The gates over tables that stand for their evidence; no drill is there, so the last has no data."""
+    """The gates over tables that stand for their evidence: errors for drills, values for times."""
     c = F.col
     slots = table(spark, d, "events").select(floored(c("ts").cast("timestamp_ntz"), 60).alias("slot"), F.lit("complete").alias("state")).distinct()
     proposals = table(spark, d, "part").select((c("p_size") == 1).alias("passed"), F.lit(False).alias("leaked"))
     legs = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select((c("l_tax") - c("l_discount")).alias("cost_drift_usd"))
     runs = table(spark, d, "orders").select((c("o_orderstatus") == "F").alias("passed"), (c("o_totalprice") / 100000).alias("deflated_sharpe"), (c("o_orderpriority") == "1-URGENT").alias("holdout"))
-    drills = spark.createDataFrame([], "at timestamp_ntz, flat boolean, elapsed_ms double, unverified boolean")
+    drills = table(spark, d, "events").filter("event_type = 'error'").select(c("ts").cast("timestamp_ntz").alias("at"), (c("value") < 400).alias("flat"), (c("value") * 5).alias("elapsed_ms"), (c("value") < 0).alias("unverified"))
     return lifecycle.gates(slots, proposals, legs, runs, drills, "2024-01-30 00:00:00").withColumn("figure", F.round("figure", 6))

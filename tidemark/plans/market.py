@@ -391,7 +391,28 @@ def arbiter_choices(spark, d):
     return decisions.chosen(s, ("slot",), "event_id").withColumn("score", F.round("score", 6))
 
 
-@query("strategy_signals")
+def _all_bars(minutes: int, name: str) -> str:
+    start = f"time_bucket(INTERVAL {minutes} MINUTE, ts)"
+    return f"{name} AS (SELECT {start} AS open_time, {start} + INTERVAL {minutes} MINUTE - INTERVAL 1 MILLISECOND AS close_time, max(value) AS high, min(value) AS low, arg_max(value, (ts, value)) AS close FROM events GROUP BY ALL)"
+
+
+def _smoothed_sql(i: str, rows: str, x: str, seed: int, n: int = 14) -> str:
+    """Wilder's average at row i as the sum of its weights, which are below 1e-20 farther back than 700 rows."""
+    q = f"({n - 1} / {n}.0)"
+    return f"(SELECT sum(CASE WHEN z.i > {seed} THEN z.{x} / {n} * pow({q}, {i} - z.i) ELSE z.{x} / {n} * pow({q}, {i} - {seed}) END) FROM {rows} AS z WHERE z.i > {seed} - {n} AND z.i <= {i} AND z.i > {i} - 700)"
+
+
+@query(
+    "strategy_signals",
+    f"""WITH {_all_bars(1, "m")}, {_all_bars(60, "h")},
+y AS (SELECT *, row_number() OVER w - 1 AS i, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, lag(close, 60) OVER w AS pc, CASE WHEN lag(close) OVER w > 0 AND close > 0 THEN ln(close / lag(close) OVER w) ELSE 0 END AS ret, CASE WHEN row_number() OVER w >= 20 THEN avg(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS sma FROM m WINDOW w AS (ORDER BY close_time)),
+v AS (SELECT *, lag(close) OVER (ORDER BY i) <= lag(sma) OVER (ORDER BY i) AND close > sma AS crosses, CASE WHEN i >= 59 THEN stddev_pop(ret) OVER (ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) END AS vol FROM y),
+u AS (SELECT *, avg(vol) OVER (ORDER BY i ROWS BETWEEN 1439 PRECEDING AND CURRENT ROW) AS usual FROM v),
+k AS (SELECT close_time, row_number() OVER w - 1 AS i, greatest(close - lag(close) OVER w, 0) AS up, greatest(lag(close) OVER w - close, 0) AS down FROM h WINDOW w AS (ORDER BY close_time)),
+g AS (SELECT close_time, CASE WHEN k.i >= 14 THEN {_smoothed_sql("k.i", "k", "up", 14)} END AS up, CASE WHEN k.i >= 14 THEN {_smoothed_sql("k.i", "k", "down", 14)} END AS down FROM k),
+s AS (SELECT u.*, CASE WHEN g.down = 0 THEN 100 ELSE 100 - 100 / (1 + g.up / g.down) END AS rsi FROM u ASOF LEFT JOIN g ON g.close_time <= u.close_time WHERE u.crosses)
+SELECT close_time, close, CASE WHEN (close - pc) / pc > 0.002 THEN 'bull' WHEN (close - pc) / pc < -0.002 THEN 'bear' ELSE 'range' END || '_' || CASE WHEN round(vol - usual, 9) > 0 THEN 'high' ELSE 'low' END AS regime, round(CASE WHEN s.i >= 13 THEN 1.5 * {_smoothed_sql("s.i", "y", "tr", 13)} END, 6) AS stop_distance FROM s WHERE NOT coalesce(rsi > 70, false)""",
+)
 def strategy_signals(spark, d):
     """A predicate over two timeframes on bars of a minute of all events."""
     from . import strategy

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, stats
 from ..operators import audit, bitemporal, ledger, similarity, validation
+from ..operators.running import running, time_block
 from .registry import query, r6, table
 
 VERSION_KEY = ("venue", "dataset_id")
@@ -141,8 +142,7 @@ def walk_forward(spark, d):
 
 @query("max_drawdown", f"WITH {_PNL}, e AS (SELECT strategy_id, ts, event_id, 10000 + sum(net_pnl) OVER (PARTITION BY strategy_id ORDER BY ts, event_id) AS equity FROM t), k AS (SELECT *, max(equity) OVER (PARTITION BY strategy_id ORDER BY ts, event_id) AS peak FROM e) SELECT strategy_id, round(max((peak - equity) / peak * 100), 6) AS max_drawdown_pct FROM k GROUP BY 1")
 def max_drawdown(spark, d):
-    w = Window.partitionBy("strategy_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    curve = pnl(spark, d).withColumn("equity", 10000 + F.sum("net_pnl").over(w))
+    curve = running(pnl(spark, d), ("strategy_id",), time_block(F.col("ts")), ("ts", "event_id"), sums={"_sum": F.col("net_pnl")}).withColumn("equity", 10000 + F.col("_sum")).drop("_sum")
     return validation.drawdown(curve, ("strategy_id",), ("ts", "event_id"), "equity").select("strategy_id", r6("max_drawdown_pct"))
 
 
@@ -181,9 +181,10 @@ def deflated_sharpe(spark, d):
 @query("nearest_rank_p95", "WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT event_type, v[1 + CAST(round_even(0.95 * (len(v) - 1), 0) AS BIGINT)] AS p95, v[1 + least(CAST(floor(len(v) * 90 / 100) AS BIGINT), len(v) - 1)] AS p90 FROM s")
 def nearest_rank_p95(spark, d):
     """By rows in order, so that no group is collected: the rows at both ranks are picked."""
-    e = table(spark, d, "events")
-    w = Window.partitionBy("event_type")
-    e = e.withColumn("i", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count("*").over(w))
+    e = table(spark, d, "events").select("event_type", "value")
+    # blocks of values, so that no task has all of a type
+    e = running(e, ("event_type",), F.floor("value"), ("value",), sums={"i": F.lit(1)}).withColumn("i", F.col("i") - 1)
+    e = e.join(e.groupBy("event_type").agg(F.count("*").alias("n")), "event_type")
     p95, p90 = F.bround(F.lit(0.95) * (F.col("n") - 1), 0), F.least(F.floor(F.col("n") * 90 / 100), F.col("n") - 1)
     return e.groupBy("event_type").agg(F.max(F.when(F.col("i") == p95, F.col("value"))).alias("p95"), F.max(F.when(F.col("i") == p90, F.col("value"))).alias("p90"))
 
@@ -353,6 +354,5 @@ def scrutiny_verdicts(spark, d):
 def kill_levels(spark, d):
     from ..operators import decisions
 
-    w = Window.partitionBy("strategy_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    curve = pnl(spark, d).withColumn("equity", 10000 + F.sum(F.col("net_pnl") * 5).over(w))
+    curve = running(pnl(spark, d), ("strategy_id",), time_block(F.col("ts")), ("ts", "event_id"), sums={"_sum": F.col("net_pnl") * 5}).withColumn("equity", 10000 + F.col("_sum")).drop("_sum")
     return decisions.kills(curve, ("strategy_id",), "ts", "equity").groupBy("strategy_id", "kill_level").agg(F.count("*").alias("n"))
