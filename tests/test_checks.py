@@ -229,3 +229,22 @@ def test_running_values_over_blocks(spark):
             if v is not None:
                 s, m = (s or 0) + v, v if m is None else max(m, v)
             assert (mine[i]["s"], mine[i]["m"], mine[i]["n"], mine[i]["total"]) == (s, m, n, sum(x[3] is not None for x in some))
+
+
+def test_integrity_report(spark):
+    from tidemark.operators import integrity
+
+    frame = spark.createDataFrame
+    hot, manifest = frame([("a",), ("a",), ("b",)], "dataset_id string"), frame([("a", 2), ("c", 9)], "dataset_id string, rows long")
+    ledger = frame([("a", 1, "complete"), ("a", 2, "partial"), ("b", 1, "complete"), ("b", 2, "complete")], "dataset_id string, slot int, state string")
+    slots = frame([("a", 1), ("a", 1), ("a", 2), ("b", 1), ("c", 5)], "dataset_id string, slot int")
+    keys = lambda *x: frame([(i,) for i in x], "id int")
+    got = integrity.report(
+        integrity.row_count_parity(hot, manifest), integrity.coverage_reconciles(ledger, slots), integrity.none_without(keys(1, 2, 3), keys(1, 1, 2), ("id",), "pairs", "alone"), integrity.none_without(keys(1), keys(1, 5), ("id",), "pairs", "alone"), integrity.newest_have(keys(1, 2, 3, 9), keys(1, 3, 9), ("id",), "id", "newest", "gone", 3)
+    )
+    of = lambda **x: tuple(sorted(x.items()))
+    assert sorted((r["check"], r["dataset_id"] or "", r["passed"], of(**r["observed"]), bool(r["detail"])) for r in got.collect()) == [
+        ("coverage_reconciles", "a", False, of(complete_slots=1, record_slots=2), True), ("coverage_reconciles", "b", True, of(complete_slots=2, record_slots=1), False), ("coverage_reconciles", "c", False, of(complete_slots=0, record_slots=1), True),
+        ("newest", "", False, of(checked=3, missing=1), True), ("pairs", "", False, of(without=1), True), ("pairs", "", True, of(without=0), False), ("row_count_parity", "a", True, of(archived=2, stored=2), False), ("row_count_parity", "b", False, of(archived=0, stored=1), True),
+    ]
+    assert tuple(integrity.overall(got).first()) == (8, 5, ["coverage_reconciles", "newest", "pairs", "row_count_parity"])

@@ -39,5 +39,6 @@ def running(df: DataFrame, keys: tuple[str, ...], block: Column, order: tuple[st
 def with_totals(df: DataFrame, keys: tuple[str, ...], **aggregates: Column) -> DataFrame:
     """df with aggregates of its key: a join with a row for each key, not a window that holds a key's rows."""
     rows = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(*(c.alias(name) for name, c in aggregates.items()))
-    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+    # without keys it is one row, which goes beside each
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.lit(True))
     return df.join(rows, same).select(*df.columns, *aggregates)

@@ -76,7 +76,8 @@ def backtest(b: DataFrame, payload: dict, path: str, start, end, as_of, now, fee
         raise HoldoutViolation(f"{end} is inside the days sealed from {lifecycle.sealed_from(now)}")
     if holdout and not past.filter(F.col("holdout") & (F.col("strategy_id") == d["id"])).isEmpty():
         raise HoldoutViolation(f"{d['id']} has had its look")
-    b = b.filter(F.col("close_time").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+    # read by every step that follows
+    b = written(b.filter(F.col("close_time").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))), "bars")
     bounds = spark.createDataFrame([(start, end)], "first timestamp_ntz, last timestamp_ntz")
     covered = coverage.summary(bounds, "first", "last", coverage.covered_slots(b, "open_time", 60), 60)
     if not allow_gaps:
