@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import predicates as p
 from tidemark.functions import scalars, stats
 from tidemark.operators import asof, audit, bars, bitemporal, coverage, gate, indicators, ledger, recurrence, regimes, replay, similarity, validation
+from tidemark.streaming import chain
 
 T0 = datetime(2025, 1, 1)
 
@@ -85,6 +86,16 @@ def test_the_future_changes_nothing(spark, name):
     assert a[:120] == b[:120] and any(y is not None for y in a[:120])
 
 
+def test_direction_from_a_price_of_zero(spark):
+    """As SQL's division has it, be it of a whole series or bar by bar; this failed by an error."""
+    closes = [0.0, 0.0, 5.0, 0.0, -1.0, -1.0, -0.9]
+    bars_ = spark.createDataFrame([(i, x) for i, x in enumerate(closes)], "i int, close double")
+    got = [r["d"] for r in bars_.select("i", regimes.direction(F.col("close"), Window.orderBy("i"), 1).alias("d")).orderBy("i").collect()]
+    assert got == ["range", "bull", "bull", "bear", "bear", "range", "bear"]
+    held = {}
+    assert [chain._regime(held, {"close": x}, back=1).split("_")[0] for x in closes] == got
+
+
 def test_predicates(spark):
     rows = [(1, 1.0, 2.0), (2, 3.0, 2.0), (3, None, 2.0), (4, 1.0, 2.0)]
     w = Window.orderBy("i")

@@ -114,8 +114,8 @@ STEPS = {"sma": _sma, "ema": _ema, "bb_position": _bb_position, "ret_pct": _ret_
 def _regime(held: dict[str, list[float]], bar: Bar, back: int = 60, vol_n: int = 60, vol_mean: int = 1440) -> str:
     """As `regimes.with_labels`."""
     closes = _window(held.setdefault("regime:closes", []), bar["close"], back + 1)
-    before = closes[0] if len(closes) == back + 1 and closes[0] else NAN
-    change = (bar["close"] - before) / before
+    before = closes[0] if len(closes) == back + 1 else NAN
+    change = (bar["close"] - before) / before if before else -math.inf if bar["close"] < 0 else math.inf
     v = _realized_vol(held.setdefault("regime:returns", []), bar, vol_n, 1)
     usual = [x for x in _window(held.setdefault("regime:vols", []), NAN if v is None else v, vol_mean) if not math.isnan(x)]
     high = v is not None and v > math.fsum(usual) / len(usual)
