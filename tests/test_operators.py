@@ -112,6 +112,24 @@ def test_asof_hands_values_over_blocks(spark):
     assert [(r["v"], r["w"]) for r in got.orderBy("t").collect()] == [(None, None), (1.0, "x"), (None, "y"), (3.0, "z")]
 
 
+def test_events_of_one_instant_are_in_the_order_of_their_ids(spark, tmp_path):
+    """Against the SQL, which takes ties as they lie in the table; what a shuffle made of them came before."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    r = random.Random(3)
+    at = sorted(r.randrange(400) for _ in range(900))
+    rows = [(i, T0 + timedelta(seconds=t), i % 7, ("purchase", "signup", "view", "click")[r.randrange(4)], r.randrange(1, 5000) / 100, "") for i, t in enumerate(at)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"create table events as select * from '{tmp_path}/events.parquet/*.parquet' order by event_id")
+    for name in ("oi_change", "funding_zscore", "asof_value"):
+        got = {x["event_id"]: x[-1] for x in entry.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == pytest.approx({x[0]: x[-1] for x in con.execute(entry.oracle_sql()[name]).fetchall()}, nan_ok=True), name
+
+
 def test_interval_sum_excludes_the_entry(spark):
     trades = spark.createDataFrame([("s", 1, T0, T0 + timedelta(hours=2)), ("s", 2, T0 + timedelta(hours=2), T0 + timedelta(hours=2))], "k string, id int, a timestamp_ntz, b timestamp_ntz")
     points = spark.createDataFrame([("s", T0 + timedelta(hours=h), 1.0 * h + 1) for h in range(4)], "k string, t timestamp_ntz, r double")

@@ -59,11 +59,11 @@ def true_range(order: WindowSpec) -> Column:
     return F.greatest(high - low, F.abs(high - before), F.abs(low - before))
 
 
-def with_zscore(df: DataFrame, value: str, n: int, keys: tuple[str, ...], time: str, name: str) -> DataFrame:
+def with_zscore(df: DataFrame, value: str, n: int, keys: tuple[str, ...], time: str, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """A null value starts the window anew, and a window without variance has no score."""
-    order = Window.partitionBy(*keys).orderBy(time)
+    order = Window.partitionBy(*keys).orderBy(time, *ties)
     runs = df.withColumn("_run", F.sum(F.when(F.col(value).isNull(), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy(*keys, "_run").orderBy(time).rowsBetween(-(n - 1), 0)
+    w = Window.partitionBy(*keys, "_run").orderBy(time, *ties).rowsBetween(-(n - 1), 0)
     some, mean, std = F.count(value).over(w) == n, F.avg(value).over(w), F.stddev_pop(value).over(w)
     return runs.withColumn(name, F.when(F.col(value).isNotNull() & some & (std > 0), (F.col(value) - mean) / std)).drop("_run")
 

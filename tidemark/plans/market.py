@@ -146,8 +146,8 @@ def adx_14(spark, d):
 @query("asof_value", "SELECT c.event_id, c.ts, v.value AS seen FROM (SELECT * FROM events WHERE event_type = 'click') AS c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') AS v ON v.ts <= c.ts")
 def asof_value(spark, d):
     t = ticks(spark, d).withColumn("k", F.lit(1))
-    views = t.filter("symbol = 'view'").select("k", F.col("ts").alias("at"), F.col("price").alias("seen"))
-    return asof.asof(t.filter("symbol = 'click'").select("k", "event_id", "ts"), views, ("k",), "ts", "at", ("seen",)).drop("k")
+    views = t.filter("symbol = 'view'").select("k", F.col("ts").alias("at"), F.col("event_id").alias("id"), F.col("price").alias("seen"))
+    return asof.asof(t.filter("symbol = 'click'").select("k", "event_id", "ts"), views, ("k",), "ts", "at", ("seen",), tie=("id",)).drop("k")
 
 
 @query(
@@ -156,10 +156,10 @@ def asof_value(spark, d):
 )
 def funding_zscore(spark, d):
     t = ticks(spark, d)
-    z = indicators.with_zscore(t.filter("symbol = 'signup'").select("symbol", "ts", "price"), "price", 20, KEYS, "ts", "z")
-    z = z.filter("z is not null").select(F.lit(1).alias("k"), F.col("ts").alias("at"), "z")
+    z = indicators.with_zscore(t.filter("symbol = 'signup'").select("symbol", "ts", "event_id", "price"), "price", 20, KEYS, "ts", "z", ("event_id",))
+    z = z.filter("z is not null").select(F.lit(1).alias("k"), F.col("ts").alias("at"), F.col("event_id").alias("id"), "z")
     clicks = t.filter("symbol = 'click'").select(F.lit(1).alias("k"), "event_id", "ts")
-    return asof.asof(clicks, z, ("k",), "ts", "at", ("z",)).select("event_id", r6("z"))
+    return asof.asof(clicks, z, ("k",), "ts", "at", ("z",), tie=("id",)).select("event_id", r6("z"))
 
 
 @query(
@@ -167,11 +167,13 @@ def funding_zscore(spark, d):
     "WITH f AS (SELECT ts, CASE WHEN lag(value, 3) OVER (ORDER BY ts) <> 0 THEN (value - lag(value, 3) OVER (ORDER BY ts)) / abs(lag(value, 3) OVER (ORDER BY ts)) * 100 END AS change FROM events WHERE event_type = 'purchase') SELECT c.event_id, round(change, 6) AS change FROM (SELECT * FROM events WHERE event_type = 'click') AS c ASOF LEFT JOIN (SELECT * FROM f WHERE change IS NOT NULL) AS f ON f.ts <= c.ts",
 )
 def oi_change(spark, d):
+    """Events of one instant are in the order of their ids, both where the change looks back and where a click looks."""
     t = ticks(spark, d)
-    oi = t.filter("symbol = 'purchase'").select("symbol", "ts", "price")
-    changed = oi.withColumn("change", indicators.pct_change(F.col("price"), 3, Window.partitionBy("symbol").orderBy("ts"))).filter("change is not null")
+    oi = t.filter("symbol = 'purchase'").select("symbol", "ts", "event_id", "price")
+    changed = oi.withColumn("change", indicators.pct_change(F.col("price"), 3, Window.partitionBy("symbol").orderBy("ts", "event_id"))).filter("change is not null")
+    changed = changed.select(F.lit(1).alias("k"), F.col("ts").alias("at"), F.col("event_id").alias("id"), "change")
     clicks = t.filter("symbol = 'click'").select(F.lit(1).alias("k"), "event_id", "ts")
-    return asof.asof(clicks, changed.select(F.lit(1).alias("k"), F.col("ts").alias("at"), "change"), ("k",), "ts", "at", ("change",)).select("event_id", r6("change"))
+    return asof.asof(clicks, changed, ("k",), "ts", "at", ("change",), tie=("id",)).select("event_id", r6("change"))
 
 
 @query("frame_projection_1h_on_5m", f"WITH {sql_bars(5, 's')}, {sql_bars(60, 'l')} SELECT s.symbol, s.close_time, l.close AS frame_close FROM s ASOF LEFT JOIN l ON s.symbol = l.symbol AND l.close_time <= s.close_time")
