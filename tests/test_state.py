@@ -98,3 +98,31 @@ def test_a_side_keeps_its_order(side, best):
     for p, q in ((9.0, 2.0), (2.0, 1.0), (5.0, 0.0), (7.0, 0.0), (9.0, 3.0)):
         s.put(p, q)
     assert s.best(1)[0] == best and s.best(5)[1] == 4.0 and s.changed == {9.0, 2.0, 5.0, 7.0}
+
+
+def test_rows_of_a_key_pass_through_a_task_that_holds_few():
+    """Whole micro-batches of a key were lists of rows, about 1 kB each."""
+    import tracemalloc
+
+    from pyspark.sql import Row
+
+    from tidemark.streaming import coverage
+
+    r, row, n = random.Random(8), Row("k", "t", "n", "v", "state", "_us", "_ms"), 40_000
+    made = [(None if i % 9_001 == 0 else r.randrange(9_000), i) for i in range(n)]
+    rows = lambda: (row("a", t, i, float(i % 97), ("partial", "complete")[i % 2], (t or 0) // 100, t) for t, i in made)
+
+    def held(walk):
+        tracemalloc.start()
+        out = walk()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak / n
+
+    last, peak = held(lambda: [x for x in (x["n"] for x in state.in_order(rows(), ("t", "n"), 1_000)) if x % 4_000 == 0])
+    assert last == [i for t, i in sorted(made, key=lambda x: (x[0] is not None, x[0] or 0, x[1])) if i % 4_000 == 0] and peak < 100
+    assert [x["n"] for x in state.in_order(rows(), ("t",), 1_000)] == [i for t, i in sorted(made, key=lambda x: (x[0] is not None, x[0] or 0))]
+    newest, peak = held(lambda: state._Newest(("n",), None, ("k",), "v", 50, "long").few(rows()))
+    assert {x["n"] for x in newest} == set(range(n - 50, n)) and peak < 100
+    first, peak = held(lambda: coverage._Slots(("t",), None, ("k",), 0).few(rows()))
+    assert len(first) == 180 and peak < 100 and all((x["t"] or 0) // 100 == x["_us"] for x in first)

@@ -217,7 +217,7 @@ class _Chains(Ordered):
     def forget(self) -> None:
         self.stored.clear()
 
-    def step(self, key, batch: list[Row]) -> Iterator[Row]:
+    def step(self, key, batch: Iterator[Row]) -> Iterator[Row]:
         held = {k[0]: list(v[0]) for k, v in self.stored.iterator()}
         for r in batch:
             bar = {n: float(r[n]) for n in ("high", "low", "close", "volume")} | {"open_us": r["_open_us"], "close_us": r["_close_us"]}

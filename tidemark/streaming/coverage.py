@@ -7,7 +7,7 @@ feed is complete once a record of it came. Both are marks on slots, and a slot k
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -42,12 +42,20 @@ class _Slots(Ordered):
     def forget(self) -> None:
         self.reached.clear()
 
-    def step(self, key, batch: list[Row]) -> Iterator[Row]:
+    def few(self, rows: Iterator[Row]) -> Iterable[Row]:
+        """The first row of each slot and state: a later one raises nothing."""
+        first: dict[tuple, tuple] = {}
+        for r in rows:
+            if r["state"] in STATES and r["_us"] is not None:
+                k, at = (r["_us"], r["state"]), [(r[c] is not None, r[c]) for c in self.order]
+                if k not in first or at < first[k][0]:
+                    first[k] = (at, r)
+        return [r for _, r in first.values()]
+
+    def step(self, key, batch: Iterator[Row]) -> Iterator[Row]:
         held = {k[0]: v[0] for k, v in self.reached.iterator()}
         changed = {}
         for r in batch:
-            if r["state"] not in STATES or r["_us"] is None:
-                continue
             rank = STATES.index(r["state"])
             if rank > changed.get(r["_us"], held.get(r["_us"], -1)):
                 changed[r["_us"]] = rank

@@ -5,12 +5,19 @@ writes what has changed and not a key's whole state. Rows of a micro-batch are t
 named, so that a replay gives what the live run gave; a micro-batch's rows of one key are held by one task.
 
 A key that is silent for `idle_s` of event time is forgotten: a timer goes off when the watermark, which follows the newest
-row by that much, has passed its last row by that much again. With idle_s None state stays for good and nothing is late."""
+row by that much, has passed its last row by that much again. With idle_s None state stays for good and nothing is late.
+
+A micro-batch may hold any number of a key's rows: they pass one by one. Where only some of them count, `Ordered.few` picks
+them as they pass; where all do, they are sorted in runs that lie in the task's scratch folder (`in_order`)."""
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -20,12 +27,41 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Seconds of event time after which a silent key is forgotten.
 IDLE_S = 86_400.0
 DEPTH, SAMPLES = 20, 500
+#: Rows of a key that a task holds at once, and those of a sorted run that it reads back at a time.
+RUN, PIECE = 20_000, 100
 
 
 def _typed(rows: DataFrame, names: Iterable[str]) -> str:
     return ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
 
 
+def in_order(rows: Iterable[Row], order: tuple[str, ...], run: int = RUN) -> Iterator[Row]:
+    """rows by the columns of `order`, nulls first and equal ones as they came; only `run` of them are held at a time."""
+    place = lambda r: [(r[c] is not None, r[c]) for c in order]
+    rows = iter(rows)
+    held = sorted(islice(rows, run), key=place)
+    if len(held) < run:
+        yield from held
+        return
+    row = Row(*held[0].__fields__)
+    with tempfile.TemporaryFile() as scratch:
+        runs: list[list[int]] = []
+        while held:
+            runs.append([])
+            for k in range(0, len(held), PIECE):
+                runs[-1].append(scratch.tell())
+                pickle.dump([tuple(r) for r in held[k : k + PIECE]], scratch)
+            held = sorted(islice(rows, run), key=place)
+
+        def read(pieces: list[int]) -> Iterator[Row]:
+            for at in pieces:
+                scratch.seek(at)
+                for values in pickle.load(scratch):
+                    yield row(*values)
+
+        yield from heapq.merge(*map(read, runs), key=place)
+
+
 class Ordered(StatefulProcessor):
     """Gives the rows of a key in order to `step`, and forgets the key when its timer goes off."""
 
@@ -37,16 +73,27 @@ class Ordered(StatefulProcessor):
         self.declare(handle)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        batch = sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in self.order])
-        yield from self.step(key, batch)
-        times = [r["_ms"] for r in batch if r["_ms"] is not None]
-        if self.idle_ms is not None and times:
-            due = max(times) + self.idle_ms
+        latest = None
+
+        def seen() -> Iterator[Row]:
+            nonlocal latest
+            for r in rows:
+                if r["_ms"] is not None and (latest is None or r["_ms"] > latest):
+                    latest = r["_ms"]
+                yield r
+
+        yield from self.step(key, in_order(self.few(seen()), self.order))
+        if self.idle_ms is not None and latest is not None:
+            due = latest + self.idle_ms
             for t in list(self.handle.listTimers()):
                 due = max(due, t)
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
 
+    def few(self, rows: Iterator[Row]) -> Iterable[Row]:
+        """Those of a micro-batch's rows that matter to `step`, whatever their order."""
+        return rows
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.forget()
         return iter(())
@@ -106,7 +153,7 @@ class _Books(Ordered):
         for s in self.stored:
             s.clear()
 
-    def step(self, key, batch: list[Row]) -> Iterator[Row]:
+    def step(self, key, batch: Iterator[Row]) -> Iterator[Row]:
         begun, fresh = self.begun.exists(), False
         sides = [_Side(sign, {p[0]: q[0] for p, q in s.iterator()} if begun else {}) for sign, s in zip((-1, 1), self.stored, strict=True)]
         for r in batch:
@@ -157,7 +204,7 @@ class _Continuity(Ordered):
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         self.last.update((initialState["_prev_price"], initialState["_prev_time"]))
 
-    def step(self, key, batch: list[Row]) -> Iterator[Row]:
+    def step(self, key, batch: Iterator[Row]) -> Iterator[Row]:
         price, time = tuple(self.last.get()) if self.last.exists() else (None, None)
         for r in batch:
             yield self.row(*(r[n] for n in self.names), price, time)
@@ -196,8 +243,13 @@ class _Newest(Ordered):
     def forget(self) -> None:
         self.samples.clear()
 
-    def step(self, key, batch: list[Row]) -> Iterator[Row]:
-        new = [(r[self.order[0]], float(r[self.value])) for r in batch if r[self.value] is not None]
+    def few(self, rows: Iterator[Row]) -> Iterable[Row]:
+        at = self.order[0]
+        return heapq.nlargest(self.most, (r for r in rows if r[self.value] is not None), key=lambda r: (r[at], float(r[self.value])))
+
+    def step(self, key, batch: Iterator[Row]) -> Iterator[Row]:
+        batch = list(batch)
+        new = [(r[self.order[0]], float(r[self.value])) for r in batch]
         if not new:
             return
         held = [tuple(x) for x in self.samples.get()] if self.samples.exists() else []
