@@ -52,6 +52,18 @@ def test_similarity_is_exact(spark):
     assert [tuple(r) for r in neardup.confirmed(texts, pairs).collect()] == [(0, 1)]  # 16 of 20
 
 
+@pytest.mark.parametrize("largest", [4096, 5])
+def test_trees_of_buckets_find_what_all_pairs_do(spark, rows, largest):
+    """By BK-trees, whole or in shards; a join of all members of a bucket came before."""
+    made = [(i, *((len(h), *neardup.sketch(h)) for h in [neardup.shingles(t, neardup._Hashes())])) for i, t in rows[:90]]
+    made = [(i, n, keys.tolist(), bits.tolist()) for i, (n, keys, bits) in made]
+    members = [(7, i, i % 11, 3, n, [7, *keys[1:]], bits) for i, n, keys, bits in made]
+    df = spark.createDataFrame(members, "key long, node long, part long, main long, n long, keys array<long>, bits array<long>")
+    apart = lambda x, y: sum(((x[k] ^ y[k] | x[k + 16] ^ y[k + 16]) % 2**64).bit_count() for k in range(16))
+    want = sorted((a[1], b[1]) for a in members for b in members if a[1] < b[1] and a[2] != b[2] and 5 * min(a[4], b[4]) >= 4 * max(a[4], b[4]) and apart(a[6], b[6]) <= neardup.APART)
+    assert sorted(tuple(x) for x in neardup.searched(df, largest).distinct().collect()) == want and want
+
+
 def test_rows_with_one_doc_id(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
     rows = [(1, a), (2, a), (2, b), (2, b), (None, b), (None, "c d e")]

@@ -6,12 +6,15 @@ a pair without a common bucket (at a similarity of 0.8, one in 1.6 million), or
 `BITS` minima, differ in more than `APART` of them (154 are expected, with a deviation of 11.4).
 
 A bucket's pairs aren't all listed: its members are compared with two of them first, and after that only members of
-different components with each other, those of the bucket's largest component not among themselves. A pair is listed
-in the first bucket it shares. Where many texts are like each other but not linked, their pairs have to be compared,
-and their number grows with the square of the group.
+different components with each other, those of the bucket's largest component not among themselves. For that a bucket, cut
+into shards if it is large, is a BK-tree of its members' sketches: the number of places in which two sketches differ is a
+metric, and a search leaves out the branches that are too far from it. A pair is listed in the first bucket it shares.
+Where many texts are like each other but not linked, the tree has little to leave out, and the comparisons grow with the
+square of the group.
 
-BK-trees over fingerprints of 64 bits don't serve here: similarity 0.8 is 7 to 8 bits on average, and all bits of at
-least one choice of bands agree for such a radius only if the bands are of a few bits.
+The trees aren't over fingerprints of 64 bits, as op1's are: similarity 0.8 is 7 to 8 bits there on average, and all bits of
+at least one choice of bands agree for such a radius only if the bands are of a few bits. Hence buckets by minima and longer
+sketches.
 
 Defined cases: words are divided by ASCII white space and compared without ASCII case; a text of fewer than five words
 is one shingle; null and blank texts are copies of each other; rows are told apart by doc_id, null or not, and text.
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, least_ids, one_each, tie, written
-from .simhash import _LOWER, components
+from .simhash import _LOWER, BKTree, components
 from .substrings import _Hashes, _word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 36, 5
 BITS = 1024
 APART = 217
+#: Members of a BK-tree: larger buckets are cut into shards.
+LARGEST = 4096
 #: Members of a bucket with the least id after this exclusive or are compared with all others first.
 _TURN = 0x2545F4914F6CDD1D
 _RNG = np.random.default_rng(42)
@@ -73,6 +78,12 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.concatenate(bits)
 
 
+def code(bits: np.ndarray) -> int:
+    """A sketch as bits of which two differ for each place whose two bits aren't the same: the tree's distance."""
+    high, low = bits[: BITS // 64], bits[BITS // 64 :]
+    return int.from_bytes(np.concatenate([high, low, high ^ low]).tobytes(), "little")
+
+
 def _sketches(texts: DataFrame) -> DataFrame:
     """`node`, `n` shingles, `keys` of buckets and `bits`, for each text that has words."""
 
@@ -112,6 +123,38 @@ def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.filter(9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b")
 
 
+def searched(members: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """The pairs (a, b) of members of different parts of a bucket, one at least not of its `main` part, whose sketches differ in
+    `APART` places or fewer and whose sizes allow a link: by a BK-tree in each shard of a bucket. A pair is listed in the first
+    bucket that it shares. members: key, node, part, main, n, keys, bits."""
+    c = F.col
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tree = None, BKTree()
+        for batch in lean(batches):
+            out: list[tuple[int, int]] = []
+            bits = batch.column("bits").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            for k, (key, shard, asks, node, part, main, n, keys) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("key", "shard", "asks", "node", "part", "main", "n", "keys")), strict=True)):
+                if (key, shard) != at:
+                    at, tree = (key, shard), BKTree()
+                if not asks:
+                    tree.insert(code(bits[k]), (node, part, n, keys))
+                    continue
+                for other, its, size, its_keys in tree.within(code(bits[k]), 2 * APART):
+                    if its != part and (its == main or other < node) and 5 * min(n, size) >= 4 * max(n, size) and next(x for x, y in zip(keys, its_keys, strict=True) if x == y) == key:
+                        out.append((min(node, other), max(node, other)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    sizes = written(members.groupBy("key").agg(F.ceil(F.count("*") / largest).alias("_shards")), "bucket-shards")
+    m = members.join(sizes, "key")
+    held = m.withColumn("shard", F.pmod(F.xxhash64("node"), "_shards")).withColumn("asks", F.lit(False))
+    asking = m.filter("part <> main").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), c("_shards") - 1))).withColumn("asks", F.lit(True))
+    # a shard's tree comes before those that search it
+    rows = held.unionByName(asking).drop("_shards").repartition("key", "shard").sortWithinPartitions("key", "shard", "asks", "node")
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def links(texts: DataFrame) -> DataFrame:
     """`node`, `root` of every text that is linked to another. texts: `node` and `text`, each text once."""
     c = F.col
@@ -129,12 +172,7 @@ def links(texts: DataFrame) -> DataFrame:
     mixed = written(mixed.select("key", c("_m.part").alias("main")), "mixed-buckets")
     open_ = written(placed.join(mixed, "key").filter("node <> h0 and node <> h1").select("key", "node", "part", "main"), "open-members")
     wide = written(open_.join(sketches, "node"), "open-sketches")
-    one = wide.filter("part <> main").select(*(c(x).alias(f"_{x}") for x in ("key", "node", "part", "n", "keys", "bits")))
-    apart = lambda k: F.get("bits", F.lit(k)).bitwiseXOR(F.get("_bits", F.lit(k)))
-    differ = sum((F.bit_count(apart(k).bitwiseOR(apart(k + BITS // 64))) for k in range(BITS // 64)), F.lit(0))
-    sized = (5 * F.least("n", "_n") >= 4 * F.greatest("n", "_n")) & (c("part") != c("_part")) & ((c("part") == c("main")) | (c("node") < c("_node")))
-    met = one.join(wide, (c("_key") == c("key")) & sized & (differ <= APART) & (F.get(F.array_intersect("keys", "_keys"), F.lit(0)) == c("key")))
-    rest = confirmed(texts, met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")))
+    rest = confirmed(texts, searched(wide))
     return components(first.unionByName(written(rest, "links")))
 
 
