@@ -398,3 +398,16 @@ def test_depth(spark):
     df = spark.createDataFrame([([(10.0, 1.0), (9.0, 3.0)], [(11.0, 1.0)])], "b array<struct<price:double,qty:double>>, a array<struct<price:double,qty:double>>")
     assert tuple(df.select(*decisions.depth(F.col("b"), F.col("a"))).first()) == (4.0, 1.0, 0.6)
     assert tuple(df.select(*decisions.depth(F.col("b"), F.col("a"), 1)).first()) == (1.0, 1.0, 0.0)
+
+
+def test_only_undecided_cases_ask_for_the_spread_rank(spark, monkeypatch):
+    """Cases with a veto by funding, few analogs or adverse ones had sent their ranges through the shuffle too."""
+    from tidemark.operators import decisions
+
+    asked, plain = [], decisions.smaller_before
+    monkeypatch.setattr(decisions, "smaller_before", lambda rows, ranges: asked.extend(r["id"] for r in ranges.collect()) or plain(rows, ranges))
+    history = spark.createDataFrame([(T0 - timedelta(days=2 + i), k, 2.0 if k == "b" else 0.1, i / 100) for k in "ab" for i in range(30)], "time timestamp_ntz, key string, adverse_pct double, spread_pct double")
+    cases = [(1, T0, "a", "LONG", 0.001, 0.05), (2, T0, "a", "SHORT", 0.001, 0.5), (3, T0, "b", "LONG", None, 0.5), (4, T0 - timedelta(days=20), "a", "LONG", 0.0, 0.5), (5, T0, "a", "LONG", None, 0.05), (6, T0, "c", "LONG", 0.0, 0.5)]
+    got = decisions.scrutinised(spark.createDataFrame(cases, "case_id int, time timestamp_ntz, key string, direction string, funding_rate double, spread_pct double"), history)
+    want = [(1, "funding_against_position"), (2, "spread_above_percentile"), (3, "analogs_adverse"), (4, "insufficient_analogs"), (5, "analogs_ok"), (6, "insufficient_analogs")]
+    assert [(r["case_id"], r["reason"]) for r in got.orderBy("case_id").collect()] == want and sorted(asked) == [2, 5]

@@ -94,12 +94,12 @@ def _running(marks: DataFrame, sums: tuple[str, ...]) -> DataFrame:
 
 def smaller_before(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """For each range the number of rows of its key at positions from `lo` up to, without, `hi` whose `_s` is smaller than
-    `x`: id, below. rows: key, `_at` (the position, from 0), `_s`; ranges: id, key, lo, hi, x.
+    `x`: id, below. rows: key, `_at` (the position, from 0), `_s`; ranges: id (not null), key, lo, hi, x.
 
     Positions are cut into blocks of `RADIX` sizes, and a range into a few blocks of each size. In each block rows and
     ranges are sorted by value once and counted on the way: rows meet no range, and a block has a bounded number of rows."""
     size = lambda k: RADIX**k
-    spread = rows.select("key", "_s", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col("_at") / size(k)).alias("b")) for k in range(SIZES)))).alias("_n"))
+    spread = rows.select("key", "_s", F.explode(F.array(*(_named_block(F.floor(F.col("_at") / size(k)), k) for k in range(SIZES)))).alias("_n"))
     up = lambda x, k: F.ceil(x / size(k))
     down = lambda x, k: F.floor(x / size(k))
     parts = []
@@ -116,15 +116,21 @@ def smaller_before(rows: DataFrame, ranges: DataFrame) -> DataFrame:
             blocks = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
             parts.append(_numbered_blocks(blocks, k))
     asked = ranges.select("id", "key", F.col("x").alias("_s"), F.explode(F.concat(*parts)).alias("_n"))
-    both = spread.select("key", "_s", "_n", F.lit(1).alias("_row"), F.lit(None).cast(ranges.schema["id"].dataType).alias("id")).unionByName(asked.select("key", "_s", "_n", F.lit(0).alias("_row"), "id"))
-    # of equal values a range comes first: it counts smaller ones
-    order = Window.partitionBy("key", "_n").orderBy("_s", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumn("_c", F.sum("_row").over(order)).filter("_row = 0")
+    both = spread.select("key", "_s", "_n", F.lit(None).cast(ranges.schema["id"].dataType).alias("id")).unionByName(asked.select("key", "_s", "_n", "id"))
+    # of equal values a range, which alone has an id, comes first: it counts smaller ones
+    row = F.col("id").isNull()
+    order = Window.partitionBy("key", "_n").orderBy("_s", row).rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("_c", F.count_if(row).over(order)).filter(~row)
     return counted.groupBy("id").agg(F.sum("_c").alias("below"))
 
 
 def _numbered_blocks(blocks: Column, k: int) -> Column:
-    return F.transform(blocks, lambda v: F.struct(F.lit(k).alias("k"), v.alias("b")))
+    return F.transform(blocks, lambda v: _named_block(v, k))
+
+
+def _named_block(number: Column, k: int) -> Column:
+    """A block of the k-th size as one number, since each row goes to several."""
+    return (number * SIZES + k).cast("long")
 
 
 def scrutinised(cases: DataFrame, history: DataFrame, embargo_days: int = 1, back_days: int = 730, adverse_pct: float = 1.0) -> DataFrame:
@@ -132,7 +138,7 @@ def scrutinised(cases: DataFrame, history: DataFrame, embargo_days: int = 1, bac
     direction, funding_rate, spread_pct; history: time, key, adverse_pct, spread_pct.
 
     Counts within a span are differences of running counts at its ends. The spread's rank among its analogs, which is
-    how many of them are below or equal, comes from `smaller_before`. No case meets a row."""
+    how many of them are below or equal, comes from `smaller_before`, for cases that nothing before it decides. No case meets a row."""
     c = F.col
     day = 86_400_000_000
     us = micros(c("time"))
@@ -144,15 +150,17 @@ def scrutinised(cases: DataFrame, history: DataFrame, embargo_days: int = 1, bac
     ran = written(_running(rows.unionByName(marks), ("_n", "_a", "_k")), "analog-counts")
     at = lambda n, o: F.max(F.when(c("_ord") == o, c(f"{n}_so_far")))
     spans = ran.filter("_ord <> 0").groupBy("case_id", "key").agg((at("_n", 1) - at("_n", -1)).alias("analogs"), (at("_a", 1) - at("_a", -1)).alias("adverse"), at("_k", -1).alias("lo"), at("_k", 1).alias("hi"))
-    spans = written(spans.join(cases.select("case_id", c("spread_pct").alias("x")), "case_id"), "analog-spans")
+    paying = ((c("funding_rate") > 0) & (c("direction") == "LONG")) | ((c("funding_rate") < 0) & (c("direction") == "SHORT"))
+    decided = ((F.abs("funding_rate") >= FUNDING_VETO) & paying, c("analogs") < ANALOGS, c("adverse") >= ADVERSE_SHARE * c("analogs"))
+    of_cases = cases.select("case_id", c("spread_pct").alias("x"), F.coalesce(decided[0], F.lit(False)).alias("_vetoed"))
+    spans = written(spans.join(of_cases, "case_id"), "analog-spans")
     known = ran.filter("_ord = 0 and _k = 1").select("key", (c("_k_so_far") - 1).alias("_at"), "_s")
-    below = smaller_before(known, spans.filter("hi > lo and x is not null").select(c("case_id").alias("id"), "key", "lo", "hi", "x"))
+    below = smaller_before(known, spans.filter("hi > lo and x is not null and not _vetoed").filter(~decided[1] & ~decided[2]).select(c("case_id").alias("id"), "key", "lo", "hi", "x"))
     met = spans.select("case_id", "analogs", "adverse", (c("hi") - c("lo")).alias("_n")).join(below.select(c("id").alias("case_id"), c("below").alias("_below")), "case_id", "left").withColumn("_below", F.coalesce("_below", F.lit(0)))
     j = cases.join(met, "case_id", "left").withColumn("analogs", F.coalesce("analogs", F.lit(0))).withColumn("adverse", F.coalesce("adverse", F.lit(0)))
-    paying = ((c("funding_rate") > 0) & (c("direction") == "LONG")) | ((c("funding_rate") < 0) & (c("direction") == "SHORT"))
     # above the value at the truncated index means that all values up to it are below
     rank = F.least(F.floor(c("_n") * SPREAD_PERCENTILE / 100), c("_n") - 1)
-    reason = F.when((F.abs("funding_rate") >= FUNDING_VETO) & paying, "funding_against_position").when(c("analogs") < ANALOGS, "insufficient_analogs").when(c("adverse") >= ADVERSE_SHARE * c("analogs"), "analogs_adverse").when((c("_n") > 0) & (c("_below") > rank), "spread_above_percentile").otherwise("analogs_ok")
+    reason = F.when(decided[0], "funding_against_position").when(decided[1], "insufficient_analogs").when(decided[2], "analogs_adverse").when((c("_n") > 0) & (c("_below") > rank), "spread_above_percentile").otherwise("analogs_ok")
     return j.select("case_id", F.when(reason == "analogs_ok", "APPROVE").otherwise("VETO").alias("verdict"), reason.alias("reason"), "analogs", "adverse")
 
 
