@@ -126,3 +126,51 @@ def test_rows_of_a_key_pass_through_a_task_that_holds_few():
     assert {x["n"] for x in newest} == set(range(n - 50, n)) and peak < 100
     first, peak = held(lambda: coverage._Slots(("t",), None, ("k",), 0).few(rows()))
     assert len(first) == 180 and peak < 100 and all((x["t"] or 0) // 100 == x["_us"] for x in first)
+
+
+def test_what_a_key_gives_leaves_a_task_in_parts(monkeypatch):
+    """Whole micro-batches of a key were lists of dicts before they left."""
+    import pickle
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    class Held:
+        """Stands for the handle of a state and for the state of a key that has none yet."""
+
+        def __getattr__(self, name):
+            return lambda *a: Held() if name.startswith("get") and name.endswith("State") else False if name in ("exists", "containsKey") else 0 if name.startswith("get") else ()
+
+    whole = state.in_order
+    monkeypatch.setattr(state, "in_order", lambda rows, order: whole(rows, order, 1_000))
+    n, given = 40_000, Row("k", "t", "kind", "bids", "asks", "_ms")
+    made = state._Books(("t",), 1000, ("k", "t"), 3)
+    made.given, made.made = given, pa.schema([("k", pa.string()), ("t", pa.int64()), *((x, pa.float64()) for x in ("bid", "ask", "bids", "asks"))])
+    made.init(Held())
+    row = lambda i: pickle.dumps(("a", i, "delta" if i else "snapshot", [{"price": float(i % 7), "qty": float(i % 3)}], None, i))
+    frames = (pd.DataFrame({"row": [row(i) for i in range(k, k + 1_000)]}) for k in reversed(range(0, n, 1_000)))
+    tracemalloc.start()
+    at, prices, sizes = 0, {}, []
+    for f in made.handleInputRows(("a",), frames, Held()):
+        batch = next(state.opened(iter([pa.record_batch({"part": pa.array(f["part"], pa.binary())})])))
+        sizes.append(batch.num_rows)
+        for r in batch.to_pylist():
+            prices[at % 7] = at % 3
+            assert r["t"] == at and r["bid"] == max((p for p, q in prices.items() if q), default=None)
+            at += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == n and sizes == [state.PART] * (n // state.PART) and peak / n < 500, peak / n
+
+
+def test_rows_pass_as_they_are(spark, tmp_path):
+    """Nulls among longs, NaN beside null, keys that are null or numbers, and times that pandas has not."""
+    nan, t = float("nan"), [T0, datetime(3000, 1, 1), None, T0 + timedelta(microseconds=1)]
+    rows = [(1, t[3], 2**53 + 1, nan, [1, None]), (1, t[0], None, None, None), (None, t[1], 2**53 + 3, 5.0, []), (1, t[1], 7, 1.5, [2**53 + 1]), (None, t[3], None, nan, [3]), (2, t[2], 2**53 + 5, 0.5, [None])]
+    schema = "k long, t timestamp, n long, price double, more array<long>"
+    price = F.col("price")
+    got = run(spark, rows, schema, lambda s: state.with_continuity(s, ("k",), "t", "price", price > 1), tmp_path, "as_they_are", files=1)
+    last = {(1, t[3]): None, (1, t[0]): None, (None, t[1]): nan, (1, t[1]): nan, (None, t[3]): None, (2, t[2]): None}
+    assert sorted((repr(tuple(x)[:6]) for x in got)) == sorted(repr((*r, last[r[0], r[1]])) for r in rows)

@@ -8,7 +8,9 @@ A key that is silent for `idle_s` of event time is forgotten: a timer goes off w
 row by that much, has passed its last row by that much again. With idle_s None state stays for good and nothing is late.
 
 A micro-batch may hold any number of a key's rows: they pass one by one. Where only some of them count, `Ordered.few` picks
-them as they pass; where all do, they are sorted in runs that lie in the task's scratch folder (`in_order`)."""
+them as they pass; where all do, they are sorted in runs that lie in the task's scratch folder (`in_order`). What comes out
+leaves a task in parts of so many rows, since Spark holds all rows that a call of a row-wise processor gives. Rows are
+packed into binaries on both ways: a pandas frame of their columns would take nulls for NaN and longs for doubles."""
 
 from __future__ import annotations
 
@@ -19,6 +21,8 @@ from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,8 +31,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Seconds of event time after which a silent key is forgotten.
 IDLE_S = 86_400.0
 DEPTH, SAMPLES = 20, 500
-#: Rows of a key that a task holds at once, and those of a sorted run that it reads back at a time.
-RUN, PIECE = 20_000, 100
+#: Rows of a key that a task holds at once, those of a sorted run that it reads back at a time, and those of a part that it gives.
+RUN, PIECE, PART = 20_000, 100, 5_000
 
 
 def _typed(rows: DataFrame, names: Iterable[str]) -> str:
@@ -37,13 +41,17 @@ def _typed(rows: DataFrame, names: Iterable[str]) -> str:
 
 def in_order(rows: Iterable[Row], order: tuple[str, ...], run: int = RUN) -> Iterator[Row]:
     """rows by the columns of `order`, nulls first and equal ones as they came; only `run` of them are held at a time."""
-    place = lambda r: [(r[c] is not None, r[c]) for c in order]
     rows = iter(rows)
-    held = sorted(islice(rows, run), key=place)
+    held = list(islice(rows, run))
+    if not held:
+        return
+    row = Row(*held[0].__fields__)
+    at = [row.index(c) for c in order]  # a row looks a name up each time
+    place = lambda r: [(r[k] is not None, r[k]) for k in at]
+    held.sort(key=place)
     if len(held) < run:
         yield from held
         return
-    row = Row(*held[0].__fields__)
     with tempfile.TemporaryFile() as scratch:
         runs: list[list[int]] = []
         while held:
@@ -63,7 +71,11 @@ def in_order(rows: Iterable[Row], order: tuple[str, ...], run: int = RUN) -> Ite
 
 
 class Ordered(StatefulProcessor):
-    """Gives the rows of a key in order to `step`, and forgets the key when its timer goes off."""
+    """Gives the rows of a key in order to `step`, and forgets the key when its timer goes off. `processed` tells it what
+    columns a row has that comes in, and the Arrow schema of those that go out."""
+
+    given: Row
+    made: pa.Schema
 
     def __init__(self, order: tuple[str, ...], idle_ms: int | None):
         self.order, self.idle_ms = order, idle_ms
@@ -72,17 +84,20 @@ class Ordered(StatefulProcessor):
         self.handle = handle
         self.declare(handle)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        latest = None
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest, ms = None, self.given.index("_ms")
 
         def seen() -> Iterator[Row]:
             nonlocal latest
-            for r in rows:
-                if r["_ms"] is not None and (latest is None or r["_ms"] > latest):
-                    latest = r["_ms"]
-                yield r
-
-        yield from self.step(key, in_order(self.few(seen()), self.order))
+            for frame in rows:
+                for packed in frame["row"]:
+                    values = pickle.loads(packed)
+                    if values[ms] is not None and (latest is None or values[ms] > latest):
+                        latest = values[ms]
+                    yield self.given(*values)
+
+        for part in parts(self.step(key, in_order(self.few(seen()), self.order)), self.made):
+            yield pd.DataFrame({"part": [part]})
         if self.idle_ms is not None and latest is not None:
             due = latest + self.idle_ms
             for t in list(self.handle.listTimers()):
@@ -94,7 +109,7 @@ class Ordered(StatefulProcessor):
         """Those of a micro-batch's rows that matter to `step`, whatever their order."""
         return rows
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.forget()
         return iter(())
 
@@ -102,13 +117,50 @@ class Ordered(StatefulProcessor):
         pass
 
 
+def parts(rows: Iterable[Row], schema: pa.Schema, size: int = PART) -> Iterator[bytes]:
+    """rows in Arrow streams of `size` rows; only those of one are held at a time."""
+    rows = iter(rows)
+    while some := list(islice(rows, size)):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema) as out:
+            out.write_batch(pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema))
+        yield sink.getvalue().to_pybytes()
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in batch.column(0):
+            yield from pa.ipc.open_stream(part.as_buffer())
+
+
+def _packed(rows: DataFrame, keys: tuple[str, ...], at: Column | None = None) -> DataFrame:
+    """rows as binaries, with what tells their keys apart and `at`."""
+    names = rows.columns
+    key = [names.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = list(zip(*(c.to_pylist() for c in batch.columns[: len(names)]), strict=True))
+            made = {"key": pa.array([repr([v[k] for k in key]) for v in values], pa.string()), "row": pa.array([pickle.dumps(v, 5) for v in values], pa.binary())}
+            yield pa.record_batch(made | {"at": c for c in batch.columns[len(names) :]})
+
+    return rows.select("*", *([] if at is None else [at.alias("_at")])).mapInArrow(run, "key string, row binary" + ("" if at is None else ", at timestamp"))
+
+
 def processed(rows: DataFrame, keys: tuple[str, ...], time: str, made: Ordered, schema: str, initial: DataFrame | None = None) -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = rows.withColumn("_ms", F.unix_millis(F.col(time).cast("timestamp")))
-    if made.idle_ms is not None:
-        timed = timed.withWatermark(time, f"{made.idle_ms} milliseconds")
-    start = None if initial is None else initial.groupBy(*keys)
-    return timed.groupBy(*keys).transformWithState(made, schema, "append", "none" if made.idle_ms is None else "eventtime", start)
+    made.given, made.made = Row(*timed.columns), spark.createDataFrame([], schema).toArrow().schema
+    if made.idle_ms is None:
+        packed = _packed(timed, keys)
+    else:
+        # pandas has no times before 1677 or after 2262
+        at = F.least(F.greatest(F.col(time).cast("timestamp"), F.lit("1700-01-01").cast("timestamp")), F.lit("2200-01-01").cast("timestamp"))
+        packed = _packed(timed, keys, F.when(F.col(time).isNotNull(), at)).withWatermark("at", f"{made.idle_ms} milliseconds")
+    start = None if initial is None else _packed(initial, keys).groupBy("key")
+    given = packed.groupBy("key").transformWithStateInPandas(made, "part binary", "append", "none" if made.idle_ms is None else "eventtime", start)
+    return given.mapInArrow(opened, schema)
 
 
 def _idle(idle_s: float | None) -> int | None:
@@ -121,9 +173,11 @@ class _Side:
     def __init__(self, sign: int, levels: dict[float, float]):
         self.sign, self.levels, self.changed = sign, levels, set()
         self.prices = sorted(sign * p for p in levels)
+        self.top: dict[int, tuple[float | None, float]] = {}
 
     def put(self, price: float, qty: float) -> None:
         self.changed.add(price)
+        self.top.clear()
         at = bisect_left(self.prices, self.sign * price)
         held = price in self.levels
         if qty:
@@ -134,8 +188,10 @@ class _Side:
             del self.prices[at], self.levels[price]
 
     def best(self, depth: int) -> tuple[float | None, float]:
-        some = [self.sign * p for p in self.prices[:depth]]
-        return (some[0] if some else None), sum(self.levels[p] for p in some)
+        if depth not in self.top:
+            some = [self.sign * p for p in self.prices[:depth]]
+            self.top[depth] = (some[0] if some else None), sum(self.levels[p] for p in some)
+        return self.top[depth]
 
 
 class _Books(Ordered):
@@ -156,17 +212,18 @@ class _Books(Ordered):
     def step(self, key, batch: Iterator[Row]) -> Iterator[Row]:
         begun, fresh = self.begun.exists(), False
         sides = [_Side(sign, {p[0]: q[0] for p, q in s.iterator()} if begun else {}) for sign, s in zip((-1, 1), self.stored, strict=True)]
+        kind, bids_at, asks_at, *kept = map(self.given.index, ("kind", "bids", "asks", *self.names))
         for r in batch:
-            if r["kind"] == "snapshot":
+            if r[kind] == "snapshot":
                 begun, fresh = True, True
                 sides = [_Side(-1, {}), _Side(1, {})]
             if not begun:
                 continue
-            for side, levels in zip(sides, (r["bids"], r["asks"]), strict=True):
+            for side, levels in zip(sides, (r[bids_at], r[asks_at]), strict=True):
                 for level in levels or ():
                     side.put(float(level["price"]), float(level["qty"]))
             (bid, bids), (ask, asks) = (s.best(self.depth) for s in sides)
-            yield self.row(*(r[n] for n in self.names), bid, ask, float(bids), float(asks))
+            yield self.row(*(r[k] for k in kept), bid, ask, float(bids), float(asks))
         if not begun:
             return
         self.begun.update((True,))
@@ -201,8 +258,9 @@ class _Continuity(Ordered):
     def forget(self) -> None:
         self.last.clear()
 
-    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.last.update((initialState["_prev_price"], initialState["_prev_time"]))
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for packed in initialState["row"]:
+            self.last.update(pickle.loads(packed)[-2:])
 
     def step(self, key, batch: Iterator[Row]) -> Iterator[Row]:
         price, time = tuple(self.last.get()) if self.last.exists() else (None, None)
