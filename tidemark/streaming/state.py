@@ -19,7 +19,7 @@ import pickle
 import tempfile
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -86,10 +86,13 @@ class Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         latest, ms = None, self.given.index("_ms")
+        head = next(rows)
+        if "first" in head and head["first"].iloc[0] is not None:
+            self.begin(pickle.loads(head["first"].iloc[0]))
 
         def seen() -> Iterator[Row]:
             nonlocal latest
-            for frame in rows:
+            for frame in chain((head,), rows):
                 for packed in frame["row"]:
                     values = pickle.loads(packed)
                     if values[ms] is not None and (latest is None or values[ms] > latest):
@@ -105,6 +108,9 @@ class Ordered(StatefulProcessor):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
 
+    def begin(self, row: tuple) -> None:
+        """Takes the values of a key's row of `initial`, which come with each micro-batch of the key."""
+
     def few(self, rows: Iterator[Row]) -> Iterable[Row]:
         """Those of a micro-batch's rows that matter to `step`, whatever their order."""
         return rows
@@ -158,8 +164,10 @@ def processed(rows: DataFrame, keys: tuple[str, ...], time: str, made: Ordered,
         # pandas has no times before 1677 or after 2262
         at = F.least(F.greatest(F.col(time).cast("timestamp"), F.lit("1700-01-01").cast("timestamp")), F.lit("2200-01-01").cast("timestamp"))
         packed = _packed(timed, keys, F.when(F.col(time).isNotNull(), at)).withWatermark("at", f"{made.idle_ms} milliseconds")
-    start = None if initial is None else _packed(initial, keys).groupBy("key")
-    given = packed.groupBy("key").transformWithStateInPandas(made, "part binary", "append", "none" if made.idle_ms is None else "eventtime", start)
+    if initial is not None:
+        # as Spark's own initial state it would have all of a key's rows held until it is read
+        packed = packed.join(_packed(initial, keys).withColumnRenamed("row", "first"), "key", "left")
+    given = packed.groupBy("key").transformWithStateInPandas(made, "part binary", "append", "none" if made.idle_ms is None else "eventtime")
     return given.mapInArrow(opened, schema)
 
 
@@ -253,23 +261,26 @@ class _Continuity(Ordered):
         self.row = Row(*names, "_prev_price", "_prev_time")
 
     def declare(self, handle) -> None:
-        self.last = handle.getValueState("last", "price double, time timestamp")
+        self.last = handle.getValueState("last", "price double, time timestamp, stored boolean")
 
     def forget(self) -> None:
-        self.last.clear()
+        if self.last.exists() and self.last.get()[2]:  # the store begins a key but once
+            self.last.update((None, None, True))
+        else:
+            self.last.clear()
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for packed in initialState["row"]:
-            self.last.update(pickle.loads(packed)[-2:])
+    def begin(self, row: tuple) -> None:
+        if not self.last.exists():
+            self.last.update((*row[-2:], True))
 
     def step(self, key, batch: Iterator[Row]) -> Iterator[Row]:
-        price, time = tuple(self.last.get()) if self.last.exists() else (None, None)
+        price, time, stored = tuple(self.last.get()) if self.last.exists() else (None, None, False)
         for r in batch:
             yield self.row(*(r[n] for n in self.names), price, time)
             if r["_accepted"] and r[self.price] is not None:
                 price, time = float(r[self.price]), r[self.time]
         if time is not None:
-            self.last.update((price, time))
+            self.last.update((price, time, stored))
 
 
 def last_accepted(stored: DataFrame, keys: tuple[str, ...], time: str, price: str, accepted: Column, ties: tuple[str, ...] = ()) -> DataFrame:
